@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, simhash
+from . import bpe, packing, pii, quality, simhash
 from .common import load
 
 VOCABULARY = "word_bpe_49k.json"
@@ -29,8 +29,12 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_near_dedup, op5_packing, op6_bpe, op7_quality_classifier)
+    f.__name__: f for f in (op2_simhash_near_dedup, op5_packing, op6_bpe, op7_quality_classifier, op10_pii)
 }
 
 #: Only what SQL can express over whole tables.
