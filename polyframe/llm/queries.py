@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, pii, quality, simhash
+from . import bpe, hnsw, packing, pii, quality, simhash
 from .common import load
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_near_dedup, op5_packing, op6_bpe, op7_quality_classifier, op10_pii)
+    f.__name__: f for f in (op1_hnsw_near_dedup, op2_simhash_near_dedup, op5_packing, op6_bpe, op7_quality_classifier, op10_pii)
 }
 
 #: Only what SQL can express over whole tables.
