@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hnsw, packing, pii, quality, simhash, urls
+from . import bpe, chat, hnsw, licenses, media, packing, pii, quality, simhash, urls
 from .common import load
 
 VOCABULARY = "word_bpe_49k.json"
@@ -22,6 +22,15 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(load(spark, sf_dir, "documents"))
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no pictures: each row of ``embeddings`` is rendered as one."""
+    return media.copies(media.rendered(load(spark, sf_dir, "embeddings")))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digests(load(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -53,7 +62,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_hnsw_near_dedup, op2_simhash_near_dedup, op5_packing, op6_bpe, op7_quality_classifier, op8_chat_formatting, op9_url_filters, op10_pii)
+    f.__name__: f
+    for f in (
+        op1_hnsw_near_dedup,
+        op2_simhash_near_dedup,
+        op3_license_scans,
+        op4_media_columns,
+        op5_packing,
+        op6_bpe,
+        op7_quality_classifier,
+        op8_chat_formatting,
+        op9_url_filters,
+        op10_pii,
+    )
 }
 
 #: Only what SQL can express over whole tables.
