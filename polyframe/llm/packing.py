@@ -27,6 +27,7 @@ from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations_with_replacement
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import codec
+from tokenizers import Tokenizer
+
+from .bpe import BLOCK_CHARS, SPACE, Cache, byte_symbols, pieces
 
 WINDOW = 4096
 CLASSES = 64
@@ -49,6 +52,65 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 Piece = tuple[int, int, int]
 
 
+class LibraryCodec:
+    """Ids of whole texts by the ``tokenizers`` library, which sees each distinct piece between white space once.
+
+    No token crosses white space, so ids of pieces, kept by piece, make up those of a text. A word of
+    lower-case Latin letters is one unit to the library's splitter, so it goes straight to its model.
+    """
+
+    def __init__(self, path: str):
+        self.library = Tokenizer.from_file(path)
+        self.library.no_padding()
+        self.library.no_truncation()
+        self.symbols = byte_symbols()
+        self.specials = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
+        self.known = Cache(self._ids)
+
+    def _ids(self, piece: str) -> bytes:
+        if piece.isalpha() and (piece.isascii() or latin(piece)) and piece.islower():
+            word = piece if piece.isascii() else "".join([self.symbols[b] for b in piece.encode()])
+            ids = [t.id for t in self.library.model.tokenize(word)]
+        else:
+            ids = self.library.encode(piece, add_special_tokens=False).ids
+        return pack(f"<{len(ids)}I", *ids)
+
+    def encode_bytes(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers; special strings in a text give their special ids."""
+        out, at, text = [], 0, text or ""
+        while at < len(text):
+            end = len(text)
+            if end - at > BLOCK_CHARS:
+                cut = SPACE.search(text, at + BLOCK_CHARS)
+                end = cut.start() if cut else end
+            block = text[at:end]
+            # Special strings must stand as they are; other characters than these the library lowers itself.
+            if latin(block) and not any(s in (low := block.lower()) for s in self.specials):
+                block = low
+            out.append(b"".join(map(self.known.__getitem__, pieces(block))))
+            at = end
+        return b"".join(out)
+
+
+def latin(text: str) -> bool:
+    """Whether all characters are among the first 256, which lower() treats as the library does."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+_codecs: dict[str, LibraryCodec] = {}
+
+
+def codec(path: str) -> LibraryCodec:
+    """The codec of a vocabulary file, made once in each Python worker."""
+    if path not in _codecs:
+        _codecs[path] = LibraryCodec(path)
+    return _codecs[path]
+
+
 @lru_cache(maxsize=4)
 def fills(classes: int, depth: int) -> np.ndarray:
     """Combinations of 1 to ``depth`` length classes 1..classes that sum to ``classes``, as columns of counts."""
@@ -143,13 +205,13 @@ def plan(lengths: list[int], window: int = WINDOW, classes: int = CLASSES, depth
     return out
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of a document; ``ids`` of each piece stay with it as bytes (little-endian unsigned 32 bit)."""
     return _packed(docs, path, end_id, window, id_col, text_col, with_ids=True)
 
 
 def pack_digests(docs: DataFrame, path: str, end_id: int = 2, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ``pack``, with the CRC-32 of a piece's ids instead of the ids."""
+    """As ``pack_documents``, with the CRC-32 of a piece's ids instead of the ids."""
     return _packed(docs, path, end_id, window, id_col, text_col, with_ids=False)
 
 
