@@ -13,7 +13,9 @@ from pyspark import SparkContext as _SparkContext
 from pyspark.sql import Column as _Column
 from pyspark.sql import Row as _Row
 from pyspark.sql import functions as _F
-from pyspark.sql.functions import *  # noqa: F403
+
+# The older names too, which a star import leaves out.
+globals().update({name: value for name, value in vars(_F).items() if not name.startswith("_") and callable(value)})
 
 
 def lit(value=None):

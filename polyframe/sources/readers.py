@@ -50,7 +50,9 @@ def read(
         if filename:
             raise ValueError("filename and skip exclude each other")
         reader = spark.read.options(**given)
-        return (reader.schema(schema) if schema is not None else reader).csv(lines.rdd.map(lambda r: r[0]))
+        reader = reader.schema(schema) if schema is not None else reader
+        text = getattr(lines._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        return DataFrame(reader._jreader.csv(text), spark)
     reader = spark.read.format(kind).options(**given)
     if schema is not None:
         reader = reader.schema(schema)
