@@ -26,10 +26,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates, unchanged.
 
     Of rows that repeat an id one stays; rows without an id belong to no group and all stay.
+    Texts are shuffled once, whatever the number of ids to drop, against the hashed ids of a
+    partition, which are no more than its documents.
     """
     found = Scratch(spark, "dedup").keep(simhash.near_duplicates(docs).select("doc_id", "component_id"))
     gone = found.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
