@@ -59,6 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = load(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = scratch.keep(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, scratch.keep(stage(spark, docs, sf_dir))
+        if k:
+            scratch.drop(before)  # the next stage's table is written: nothing reads this one again
     return STAGES[-1][1](spark, docs, sf_dir)

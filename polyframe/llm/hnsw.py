@@ -15,9 +15,9 @@ A shard emits at most one edge for each vector and component met. ``graph.compon
 
 Defined results: vectors that are null, empty or zero, or hold null or non-finite components, and
 vectors without a label or id, link with nothing; their component is their own id. Vectors of
-different lengths do not link. Repeated rows and rows that share an id each keep their row and
-count as vectors of their own; a component of rows that share an id is shared. An empty table gives
-no row; further columns are ignored, whatever their names.
+different lengths do not link. Repeated rows each keep their row and count as vectors of their own.
+Different vectors that share an id share their component, and each has the links of all of them. An
+empty table gives no row; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -319,7 +319,6 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, shard_si
     found = scratch.keep(grouped.mapInArrow(_searcher(similarity), "u long, n long, v long"))
     roots = components(found.select("u", "v"), scratch)
     links = found.groupBy("u").agg(F.sum("n").alias("n"))
-    # Classes whose ids coincide share counts by id only where rows share an id; keys keep them apart.
     named = classes.select("key", "id", "copies").join(links, F.col("id") == F.col("u"), "left").join(roots, F.col("id") == F.col("node"), "left")
     named = scratch.keep(named.select(F.col("key").alias("k"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "id").alias("c")))
     joined = keyed.select("vec_id", "key").join(named, F.col("key") == F.col("k"), "left")

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, hnsw, licenses, media, packing, pii, quality, simhash, urls
 from .common import load
+from .oracles import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -76,6 +79,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_pii,
     )
 }
-
-#: Only what SQL can express over whole tables.
-ORACLE_SQL: dict[str, str] = {}
