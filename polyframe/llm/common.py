@@ -36,7 +36,6 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/polyframe-{label}-{uuid.uuid4().hex}"
         self._count = 0
-        self._paths: dict[int, str] = {}
         atexit.register(self.clear)
 
     def keep(self, frame: DataFrame) -> DataFrame:
@@ -45,7 +44,6 @@ class Scratch:
         frame.write.mode("overwrite").parquet(path)
         # The schema is known: no job to infer it, and empty tables reread as they were written.
         out = self.spark.read.schema(frame.schema).parquet(path)
-        self._paths[id(out)] = path
         out._scratch_path = path
         return out
 

@@ -132,9 +132,8 @@ def windows(docs: DataFrame, templates: dict[str, str], id_col: str = "doc_id",
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and license held: doc_id, license, containment, n_windows."""
-    spark = docs.sparkSession
-    rows = [(own.longest, name, list(s)) for own in classes(templates) for name, s in own.templates]
-    known = spark.createDataFrame(rows, "tclass int, license string, tshingles array<string>").coalesce(1)
+    rows = [F.struct(F.lit(own.longest).alias("tclass"), F.lit(name).alias("license"), F.array(*map(F.lit, s)).alias("tshingles")) for own in classes(templates) for name, s in own.templates]
+    known = docs.sparkSession.range(1, numPartitions=1).select(F.inline(F.array(*rows)))
     table = known.select("tclass", "license", "tshingles", F.posexplode(_bands(F.col("tshingles"))).alias("tband", "tvalue"))
     if len(rows) * BANDS <= BROADCAST_ROWS:
         table = F.broadcast(table)

@@ -28,6 +28,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Bytes of a window, of a dictionary, and the weight of the usual difference in bytes of text.
 WINDOW, DICTIONARY, SHRINK, LEVEL = 512, 256 << 10, 200, 3
 #: Bounds of the labelled sample that reaches the driver: 2 * PER_CLASS texts of SAMPLE_BYTES at most.
@@ -112,11 +114,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_b
     # Twice as many ids as wanted, as some texts are longer than a sample's may be.
     chosen = [each.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class) for q in (0, 1)]
     ids = chosen[0].union(chosen[1])  # at most 4 * per_class rows: bounded, so it may be broadcast
-    texts = docs.select("doc_id", "text").where(F.octet_length("text").between(1, sample_bytes)).join(F.broadcast(ids), "doc_id")
+    scratch = Scratch(docs.sparkSession, "quality")
+    texts = scratch.keep(docs.select("doc_id", "text").where(F.octet_length("text").between(1, sample_bytes)).join(F.broadcast(ids), "doc_id"))
     picked: dict[int, list[bytes]] = {0: [], 1: []}
     for q in (0, 1):
         own = texts.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(per_class).select("text")
         picked[q] = [t.encode("utf-8", "surrogatepass") for t in own.toArrow()["text"].to_pylist()]
+    scratch.clear()
     if not picked[0] or not picked[1]:
         return None, n0, n1
     # Alternate rows make the dictionaries; a lone row serves for both.
