@@ -28,6 +28,59 @@ TEXTS = {
     "sql_stddev_distinct": (("lineitem",), "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, round(stddev_samp(l_quantity), 6) AS spread FROM lineitem GROUP BY l_returnflag"),
     "sql_rows_frame": (("orders",), "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS total FROM orders"),
     "sql_substr_cast": (("customer",), "SELECT substr(c_name, 10, 3) AS part, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY substr(c_name, 10, 3)"),
+    "sql_rollup_rank_in_parent": (
+        ("lineitem", "supplier", "nation"),
+        "SELECT level, n_regionkey, n_name, revenue, CAST(rank() OVER (PARTITION BY level, CASE WHEN level = 0 THEN n_regionkey END ORDER BY revenue DESC) AS BIGINT) AS place FROM (SELECT CAST(grouping(n_regionkey) + grouping(n_name) AS BIGINT) AS level, n_regionkey, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, n_name)) x",
+    ),
+    "sql_cumulative_full_join": (
+        ("events",),
+        "WITH a AS (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY CAST(ts AS DATE)), b AS (SELECT CAST(ts AS DATE) AS d, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY CAST(ts AS DATE)) SELECT d, CAST(sum(clicks) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS clicks, CAST(sum(buys) OVER (ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS buys FROM (SELECT coalesce(a.d, b.d) AS d, coalesce(a.n, 0) AS clicks, coalesce(b.n, 0) AS buys FROM a FULL OUTER JOIN b ON a.d = b.d) x",
+    ),
+    "sql_overlap_counts": (
+        ("events",),
+        "WITH a AS (SELECT DISTINCT user_id AS u FROM events WHERE event_type = 'signup'), b AS (SELECT DISTINCT user_id AS u FROM events WHERE event_type = 'error' AND value > 50) SELECT CAST(sum(CASE WHEN a.u IS NOT NULL AND b.u IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS only_a, CAST(sum(CASE WHEN a.u IS NULL AND b.u IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS only_b, CAST(sum(CASE WHEN a.u IS NOT NULL AND b.u IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS both FROM a FULL OUTER JOIN b ON a.u = b.u",
+    ),
+    "sql_case_of_subqueries": (
+        ("lineitem", "region"),
+        "SELECT r_name, CASE WHEN (SELECT count(*) FROM lineitem WHERE l_quantity BETWEEN 1 AND 20) > 100 THEN (SELECT round(avg(l_discount), 6) FROM lineitem WHERE l_quantity BETWEEN 1 AND 20) ELSE (SELECT round(avg(l_tax), 6) FROM lineitem) END AS chosen FROM region",
+    ),
+    "sql_best_and_worst": (
+        ("lineitem",),
+        "WITH m AS (SELECT l_suppkey AS s, round(avg(l_extendedprice), 4) AS price FROM lineitem GROUP BY l_suppkey) SELECT a.place, a.s AS best, b.s AS worst FROM (SELECT s, CAST(row_number() OVER (ORDER BY price DESC, s) AS BIGINT) AS place FROM m) a JOIN (SELECT s, CAST(row_number() OVER (ORDER BY price, s) AS BIGINT) AS place FROM m) b ON a.place = b.place WHERE a.place <= 10",
+    ),
+    "sql_neighbour_months": (
+        ("orders",),
+        "WITH m AS (SELECT o_orderpriority AS p, year(o_orderdate) AS y, month(o_orderdate) AS m, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderpriority, year(o_orderdate), month(o_orderdate)) SELECT p, CAST(y AS BIGINT) AS y, CAST(m AS BIGINT) AS m, total, lag(total) OVER (PARTITION BY p ORDER BY y, m) AS before, lead(total) OVER (PARTITION BY p ORDER BY y, m) AS after, round(avg(total) OVER (PARTITION BY p, y), 4) AS mean FROM m",
+    ),
+    "sql_spread_over_mean": (
+        ("lineitem",),
+        "SELECT l_suppkey, n, round(sd / mean, 6) AS spread FROM (SELECT l_suppkey, count(*) AS n, stddev_samp(l_quantity) AS sd, avg(l_quantity) AS mean FROM lineitem GROUP BY l_suppkey) x WHERE CASE mean WHEN 0 THEN 0 ELSE sd / mean END > 0.5",
+    ),
+    "sql_frequent_then_joined": (
+        ("lineitem", "orders", "customer"),
+        "WITH often AS (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(*) > 32), best AS (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING sum(o_totalprice) > (SELECT 1.2 * avg(t) FROM (SELECT sum(o_totalprice) AS t FROM orders GROUP BY o_custkey) y)) SELECT c_mktsegment, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem, orders, customer WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND l_partkey IN (SELECT l_partkey FROM often) AND o_custkey IN (SELECT o_custkey FROM best) GROUP BY c_mktsegment",
+    ),
+    "sql_common_in_three": (
+        ("events",),
+        "SELECT count(*) AS n FROM (SELECT user_id, CAST(ts AS DATE) AS d FROM events WHERE event_type = 'view' INTERSECT SELECT user_id, CAST(ts AS DATE) FROM events WHERE event_type = 'click' INTERSECT SELECT user_id, CAST(ts AS DATE) FROM events WHERE event_type = 'purchase') x",
+    ),
+    "sql_in_one_only": (
+        ("events",),
+        "SELECT count(*) AS n FROM ((SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events WHERE event_type = 'view') EXCEPT (SELECT DISTINCT user_id, CAST(ts AS DATE) FROM events WHERE event_type = 'click')) x",
+    ),
+    "sql_buckets_side_by_side": (
+        ("lineitem",),
+        "SELECT * FROM (SELECT round(avg(l_extendedprice), 4) AS a, count(l_extendedprice) AS an, count(DISTINCT l_extendedprice) AS ad FROM lineitem WHERE l_quantity BETWEEN 0 AND 10 AND (l_discount BETWEEN 0.02 AND 0.05 OR l_tax > 0.06)) x, (SELECT round(avg(l_extendedprice), 4) AS b, count(l_extendedprice) AS bn, count(DISTINCT l_extendedprice) AS bd FROM lineitem WHERE l_quantity BETWEEN 11 AND 20 AND (l_discount BETWEEN 0.05 AND 0.09 OR l_tax < 0.02)) y",
+    ),
+    "sql_union_of_channels": (
+        ("supplier", "customer"),
+        "SELECT channel, k, n FROM (SELECT 'supplier' AS channel, s_nationkey AS k, count(*) AS n FROM supplier GROUP BY s_nationkey UNION ALL SELECT 'customer' AS channel, c_nationkey AS k, count(*) AS n FROM customer GROUP BY c_nationkey) x WHERE n >= 2",
+    ),
+    "sql_not_in_and_or": (
+        ("part", "lineitem"),
+        "SELECT p_brand, count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50) AND (p_size < 10 OR p_type LIKE '%A%') GROUP BY p_brand",
+    ),
+    "sql_order_by_aggregate": (("nation",), "SELECT n_regionkey, count(*) AS n, min(n_name) AS first, CAST(max(length(n_name)) - min(length(n_name)) AS BIGINT) AS spread FROM nation GROUP BY n_regionkey ORDER BY n DESC, n_regionkey"),
     "tpch_q1": (
         ("lineitem",),
         "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 4) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus",
