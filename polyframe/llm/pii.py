@@ -1,7 +1,8 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Patterns propose candidates: the four base kinds in their exact form, near misses of these, and
-further forms (spelled-out addresses, national telephone numbers, identity numbers, credentials).
+further forms (spelled-out addresses, national telephone numbers, identity numbers, credentials,
+and card numbers that a base match runs past).
 Three labelers vote 1, 0 or -1 on each candidate: its regex form, gazetteers (lists of endings,
 prefixes and ranges), and the words before it. Votes are counted by pattern - at most ``PATTERNS``
 rows, whatever the input - and on these counts expectation-maximisation estimates how reliable each
@@ -56,6 +57,7 @@ PROPOSALS = (
     ("phone", r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
     ("id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("secret", r"\bAKIA[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|token|secret|api_?key) ?[=:] ?\"?)[A-Za-z0-9+/_-]{12,}+\"?"),
+    ("card", r"(?<![0-9])(?:[0-9]{14,19}+|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"),
 )
 #: What a text must hold before a pattern is tried on it.
 NEEDS = (
@@ -67,6 +69,7 @@ NEEDS = (
     lambda t: t.rlike(r"[0-9]{3}[ .-][0-9]{4}"),
     lambda t: t.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
     lambda t: F.contains(t, F.lit("AKIA")) | t.rlike(r"(?i)(?:password|passwd|token|secret|api_?key) ?[=:]"),
+    lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){13}"),
 )
 #: Words before a candidate that speak for its kind, and words that speak against any.
 FOR = {
@@ -114,6 +117,8 @@ def _form(proposal: int, hit: Column, base: Column) -> Column:
     if PROPOSALS[proposal][0] == "secret":
         mixed = hit.rlike("[0-9]") & (F.length(hit) >= 20)
         return F.when(mixed, 1).otherwise(0)
+    if PROPOSALS[proposal][0] == "card":
+        return F.when(_luhn(_digits(hit)), 1).otherwise(-1)
     return F.lit(1)
 
 

@@ -118,3 +118,11 @@ def test_expectation_maximisation_finds_reliable_labelers():
     p, tables = pii.expectation_maximisation(np.zeros(len(patterns), int), patterns, count.astype(float))
     assert ((p[index.ravel()] > 0.5) == truth).mean() > 0.93
     assert tables[0][1, 2] > tables[1][1, 2] > tables[2][1, 2]
+
+
+def test_numbers_that_a_base_match_runs_past(spark):
+    text = "reach +1 (605) 555-9305 4078918989542222 today"
+    docs = spark.createDataFrame([(1, text)] + [(k, f"stone a{k}@x.org then 4111111111111111 and more +1 (212) 555-{k} of them") for k in range(1000, 3000)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.detect(docs).collect()}
+    assert base_spans(text) == [] and got[1]["n_card"] == 0
+    assert got[1]["spans"] == "phone:9:23,card:24:40"
