@@ -7,15 +7,10 @@ from pyspark.sql.types import DoubleType, StringType
 
 from .. import sources
 from ..plans import lineage
+from ..session import temporary
 from .registry import query
 
 
-def _work(t, name: str) -> str:
-    """A new folder in the cluster's shared folder."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/polyframe-{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT c_custkey, upper(substr(c_name, 1, 1)) || '!' AS mark FROM customer")
 def python_udf(t):
     mark = F.udf(lambda name: name[:1].upper() + "!", StringType())
@@ -60,28 +55,28 @@ def create_dataframe(t):
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def parquet_round_trip(t):
-    path = _work(t, "parquet")
+    path = temporary(t.spark, "parquet")
     sources.save(t.nation, path, "parquet", "overwrite", partition_by="n_regionkey")
     return sources.read(t.spark, path, "parquet", schema="n_nationkey int, n_name string, n_regionkey int").select("n_nationkey", "n_name", "n_regionkey")
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def csv_round_trip(t):
-    path = f"{_work(t, 'csv')}.csv"
+    path = temporary(t.spark, "csv") + "/nation.csv"
     sources.save(t.nation, path, header=True)
     return sources.read(t.spark, path, header=True, schema="n_nationkey int, n_name string, n_regionkey int")
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def json_round_trip(t):
-    path = f"{_work(t, 'json')}.json"
+    path = temporary(t.spark, "json") + "/nation.json"
     sources.save(t.nation, path, mode="error")
     return sources.read(t.spark, path, schema="n_nationkey int, n_name string, n_regionkey int")
 
 
 @query("SELECT n_nationkey, n_name, true AS known FROM nation")
 def orc_with_file_names(t):
-    path = _work(t, "orc")
+    path = temporary(t.spark, "orc")
     sources.save(t.nation, path, "orc")
     frame = sources.read(t.spark, path, "orc", filename="file")
     return frame.select("n_nationkey", "n_name", F.col("file").contains(".orc").alias("known"))
@@ -95,7 +90,7 @@ def table_round_trip(t):
     sources.save_as_table(base.where("n_regionkey < 3"), name)
     sources.insert_into(base.where("n_regionkey >= 3").select("n_name", "n_regionkey", "n_nationkey"), name, named=True)
     sources.replace_where(base.where("n_regionkey = 1").withColumn("n_nationkey", F.col("n_nationkey") + 100), name, "n_regionkey = 1")
-    path = _work(t, "table")
+    path = temporary(t.spark, "table")
     t.spark.table(name).select("n_nationkey", "n_name").write.parquet(path)
     t.spark.sql(f"DROP TABLE {name}")
     return t.spark.read.parquet(path)

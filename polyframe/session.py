@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -22,3 +25,18 @@ def session(app: str = "polyframe", master: str | None = None, **settings: str)
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path in the cluster's shared folder, removed when the driver's interpreter ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    path = f"{base.rstrip('/')}/polyframe-{name}-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        if spark.sparkContext._jsc is None:
+            return  # the application has ended
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    atexit.register(remove)
+    return path
