@@ -145,15 +145,17 @@ def score(docs: DataFrame, fitted: tuple[Model | None, int, int], keep: list[str
         return docs.select(*kept, F.lit((n1 + 1) / (n0 + n1 + 1)).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a fixed size
 
+    # Columns travel under names of our own, so that none can clash; the text travels once.
+    names = [f"c{k}" for k in range(len(kept))]
+    sent = docs.select(*(F.col(c).alias(n) for c, n in zip(kept, names, strict=True)), *([] if "text" in kept else [F.col("text").alias("t")]))
+    at = kept.index("text") if "text" in kept else len(kept)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            scores = pa.array([scorer.score(t.as_py()) for t in batch.column(0)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], scores], [*names, "score"])
+            scores = pa.array([scorer.score(t.as_py()) for t in batch.column(at)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], scores], [*names, "score"])
 
-    # Kept columns travel under names of our own, so that none can clash.
-    names = [f"c{k}" for k in range(len(kept))]
-    sent = docs.select(F.col("text").alias("t"), *(F.col(c).alias(n) for c, n in zip(kept, names, strict=True)))
     schema = ", ".join([*(f"{n} {sent.schema[n].dataType.simpleString()}" for n in names), "score double"])
     return sent.mapInArrow(run, schema).select(*(F.col(n).alias(c) for n, c in zip(names, kept, strict=True)), "score")
 
