@@ -28,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex
+from tokenizers.normalizers import NFC, Lowercase, Sequence
 from tokenizers.pre_tokenizers import Split
 
 #: Characters of text handled at once. Blocks end before white space, which no token crosses.
@@ -74,6 +75,8 @@ class Codec:
         self.words = regex.compile(pattern, regex.V0).findall
         self.pattern = pattern
         self.newer = Cache(self._is_newer)
+        # Characters that tables of other versions may case, order or compose otherwise.
+        self.versioned = Cache(lambda char: unicodedata.category(char) == "Cn" or unicodedata.combining(char) > 0)
         self.special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")")
         # Ids of a byte within and at the end of a word.
         self.first = [self.vocab.get(s) for s in byte_symbols()]
@@ -137,15 +140,15 @@ class Codec:
         return pack(f"<{len(ids)}I", *ids), " ".join([self.strings[i] for i in ids])
 
     def _codes(self, block: str) -> list[tuple[bytes, str]]:
-        block = unicodedata.normalize("NFC", block)
-        # Lower-casing is character by character: no rule for a sigma that ends a word.
-        low = block.lower() if "Σ" not in block else "".join(map(str.lower, block))
-        try:
-            low.encode("latin-1")
-        except UnicodeEncodeError:
-            if newer := "".join(c for c in set(low) if c > "\u0557" and self.newer[c]):
+        if not latin(block) and any(map(self.versioned.__getitem__, set(block))):
+            low = LIBRARY_LOWER.normalize_str(block)
+            if newer := "".join(c for c in set(low) if self.newer[c]):
                 split = self._older(newer)
                 return [self._code(chunk, split) for chunk in UNICODE_SPACE.split(low)]
+        else:
+            block = unicodedata.normalize("NFC", block)
+            # Lower-casing is character by character: no rule for a sigma that ends a word.
+            low = block.lower() if "Σ" not in block else "".join(map(str.lower, block))
         return list(map(self.cache.__getitem__, pieces(low)))
 
     def blocks(self, text: str | None) -> Iterator[list[tuple[bytes, str]]]:
@@ -178,6 +181,7 @@ class Codec:
 #: White space before which a text may be cut. A cut needs the ASCII kinds only.
 SPACE = re.compile(r"[ \n\r\t]")
 LETTER = regex.compile(r"[\p{L}\p{N}]")
+LIBRARY_LOWER = Sequence([NFC(), Lowercase()])
 LIBRARY_LETTER = Split(Regex(r"[\p{L}\p{N}]"), "removed")
 PYTHON_SPACE = re.compile("[\x1c-\x1f]")
 UNICODE_SPACE = re.compile("[ \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -185,6 +189,15 @@ UNICODE_SPACE = re.compile("[ \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f
 UNSURE = re.compile("(?<![A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u017f])[.,][ \n]")
 
 
+def latin(text: str) -> bool:
+    """Whether all characters are among the first 256, where tables of all versions agree."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def pieces(block: str) -> list[str]:
     """Parts of a block that no token crosses, in order: what stands between white space.
 

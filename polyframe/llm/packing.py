@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tokenizers import Tokenizer
 
-from .bpe import BLOCK_CHARS, SPACE, Cache, byte_symbols, pieces
+from .bpe import BLOCK_CHARS, SPACE, Cache, byte_symbols, latin, pieces
 
 WINDOW = 4096
 CLASSES = 64
@@ -92,15 +92,6 @@ class LibraryCodec:
         return b"".join(out)
 
 
-def latin(text: str) -> bool:
-    """Whether all characters are among the first 256, which lower() treats as the library does."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
-
-
 _codecs: dict[str, LibraryCodec] = {}
 
 

@@ -79,3 +79,10 @@ def test_digests(spark, library):
 def test_documents(spark):
     row = bpe.encode_documents(spark.createDataFrame([(1, "Hi there")], "doc_id long, text string"), PATH).first()
     assert row["ids"] == CODEC.encode("Hi there") and row["decoded"] == CODEC.decode(row["ids"])
+
+
+@pytest.mark.parametrize("text", ["\U00010d50\U00010d7d", "a\U00010f85́", "ᪿ́x", "\U0001e4ed́", "İ̇", "ẹ́ Ẹ́", "\U00010edcz. b"])
+def test_characters_newer_than_pythons_tables(library, text):
+    ids = ids_of(library, text)
+    assert CODEC.encode(text) == ids
+    assert LIBRARY_CODEC.encode_bytes(text) == b"".join(i.to_bytes(4, "little") for i in ids)
