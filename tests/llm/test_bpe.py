@@ -14,10 +14,7 @@ WILD = st.text(st.one_of(st.sampled_from("abcst'., \n\t\x1c!_-09ÀéœßΣσİ²
 
 @pytest.fixture(scope="module")
 def library():
-    made = Tokenizer.from_file(PATH)
-    made.no_padding()
-    made.no_truncation()
-    return made
+    return LIBRARY
 
 
 def ids_of(library, text):
@@ -27,14 +24,15 @@ def ids_of(library, text):
 @settings(max_examples=400, deadline=None)
 @given(WILD)
 def test_encoding_and_decoding_equal_the_librarys(text):
-    library = Tokenizer.from_file(PATH)
-    codec = CODEC
-    ids = ids_of(library, text)
-    assert codec.encode(text) == ids
-    assert codec.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    ids = ids_of(LIBRARY, text)
+    assert CODEC.encode(text) == ids
+    assert CODEC.decode(ids) == LIBRARY.decode(ids, skip_special_tokens=False)
     assert b"".join(i.to_bytes(4, "little") for i in ids) == LIBRARY_CODEC.encode_bytes(text)
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+LIBRARY.no_padding()
+LIBRARY.no_truncation()
 CODEC, LIBRARY_CODEC = bpe.Codec(PATH), packing.LibraryCodec(PATH)
 
 
