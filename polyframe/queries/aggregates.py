@@ -19,6 +19,7 @@ family("agg_distinct", "lineitem", "l_returnflag", {
     "parts": (E.count_distinct("l_partkey"), "count(DISTINCT l_partkey)"),
     "pairs": (E.countDistinct("l_partkey", "l_suppkey"), "count(DISTINCT (l_partkey, l_suppkey))"),
     "lines": (E.sum_distinct("l_linenumber"), "CAST(sum(DISTINCT l_linenumber) AS BIGINT)"),
+    "lines_old": (E.sumDistinct("l_linenumber"), "CAST(sum(DISTINCT l_linenumber) AS BIGINT)"),
 }, groups="keys")
 
 family("agg_stats", "orders", "o_orderpriority", {

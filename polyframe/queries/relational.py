@@ -129,6 +129,13 @@ def order_nulls_first(t):
     return frame.sort(F.asc_nulls_first("kind"), "event_id", ascending=[True, True]).limit(40)
 
 
+@query("(SELECT event_id, kind FROM (SELECT event_id, nullif(event_type, 'view') AS kind FROM events) ORDER BY kind ASC NULLS LAST, event_id LIMIT 30) UNION ALL (SELECT event_id, kind FROM (SELECT event_id, nullif(event_type, 'view') AS kind FROM events) ORDER BY kind DESC NULLS FIRST, event_id LIMIT 30)")
+def order_nulls_both_ways(t):
+    frame = t.events.select("event_id", F.nullif("event_type", F.lit("view")).alias("kind"))
+    last = frame.orderBy(F.asc_nulls_last("kind"), F.asc("event_id")).limit(30)
+    return last.union(frame.orderBy(F.desc_nulls_first("kind"), "event_id").limit(30))
+
+
 @query("SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 7")
 def limit_chain(t):
     return t.customer.select("c_custkey").orderBy("c_custkey").limit(20).limit(7)
