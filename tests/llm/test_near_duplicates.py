@@ -243,6 +243,15 @@ def test_copies(spark):
     assert media.copies(frame.limit(0)).count() == 0
 
 
+def test_large_group_of_copies(spark):
+    """Votes of a group of near copies meet in one leader however large the group is."""
+    rng = np.random.default_rng(2)
+    base = pictures(1, seed=4)[0][:96, :96]
+    rows = [(k, media.encode_pgm(base + rng.normal(0, 6, base.shape))) for k in range(1500)]
+    got = media.copies(spark.createDataFrame(rows, "media_id long, media binary").repartition(4)).collect()
+    assert sum(r["component_id"] == 0 for r in got) >= 0.98 * len(rows)
+
+
 def test_rendering(spark):
     frame = spark.createDataFrame([(1, [0.0, 1.0, 0.5]), (2, None), (3, [float("nan")]), (4, [2.0])], "vec_id long, embedding array<double>")
     got = {r["media_id"]: r["media"] for r in media.rendered(frame).collect()}
