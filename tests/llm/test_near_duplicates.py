@@ -252,6 +252,13 @@ def test_large_group_of_copies(spark):
     assert sum(r["component_id"] == 0 for r in got) >= 0.98 * len(rows)
 
 
+def test_two_votes_make_a_candidate(spark):
+    frame = spark.createDataFrame([(1, 1, [10, 20, 30]), (2, 2, [10, 20, 31]), (3, 3, [10, 21, 32])], "id long, root long, keys array<int>")
+    got = {tuple(r) for r in media.candidates(frame.where("id < 3"), media.ORDERS[0]).collect()}
+    assert got == {(2, 1)}
+    assert media.candidates(frame.where("id != 2"), media.ORDERS[0]).count() == 0  # one bucket in common
+
+
 def test_rendering(spark):
     frame = spark.createDataFrame([(1, [0.0, 1.0, 0.5]), (2, None), (3, [float("nan")]), (4, [2.0])], "vec_id long, embedding array<double>")
     got = {r["media_id"]: r["media"] for r in media.rendered(frame).collect()}
