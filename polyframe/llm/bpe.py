@@ -33,8 +33,10 @@ from tokenizers.pre_tokenizers import Split
 
 #: Characters of text handled at once. Blocks end before white space, which no token crosses.
 BLOCK_CHARS = 1 << 20
-#: Words kept with their ids by one Python worker; the cache starts anew when it is full.
-CACHE_WORDS = 1_000_000
+#: Keys kept by one cache of a Python worker, which starts anew when it is full, and the longest key
+#: kept. A key of 64 characters has at most 192 bytes, so what it maps to is bounded too; longer ones
+#: (unspaced scripts, encoded data) hardly recur and are worked out each time.
+CACHE_WORDS, CACHE_CHARS = 250_000, 64
 
 
 def byte_symbols() -> list[str]:
@@ -45,16 +47,18 @@ def byte_symbols() -> list[str]:
 
 
 class Cache(dict):
-    """What ``make`` gives for a key, kept; it starts anew when it holds ``most`` keys."""
+    """What ``make`` gives for a key, kept for keys of up to ``longest`` characters; it starts anew when it holds ``most``."""
 
-    def __init__(self, make: Callable, most: int = CACHE_WORDS):
+    def __init__(self, make: Callable, most: int = CACHE_WORDS, longest: int = CACHE_CHARS):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.longest = make, most, longest
 
     def __missing__(self, key: str):
-        if len(self) >= self.most:
-            self.clear()
-        self[key] = out = self.make(key)
+        out = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = out
         return out
 
 
@@ -185,8 +189,9 @@ LIBRARY_LOWER = Sequence([NFC(), Lowercase()])
 LIBRARY_LETTER = Split(Regex(r"[\p{L}\p{N}]"), "removed")
 PYTHON_SPACE = re.compile("[\x1c-\x1f]")
 UNICODE_SPACE = re.compile("[ \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-#: A full stop or comma before white space that may be part of a longer run of signs.
-UNSURE = re.compile("(?<![A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u017f])[.,][ \n]")
+#: A full stop or comma before white space that may be part of a longer run of signs: before it stands
+#: anything but a Latin letter or digit. U+0130 is none here, as its lower case ends in a combining mark.
+UNSURE = re.compile("(?<![A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f])[.,][ \n]")
 
 
 def latin(text: str) -> bool:
@@ -221,6 +226,8 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+#: Tokens after which a batch of encoded documents is handed on.
+BATCH_TOKENS = 1 << 18
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -228,10 +235,20 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """One row per document: id, ids as an array, decoded text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
+
+        def made(keys: pa.Array, ids: list[list[int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.list_(pa.int32())), pa.array(map(c.decode, ids), pa.string())], ["id", "ids", "decoded"])
+
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = c.encode(text.as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], key.type), pa.array([ids], pa.list_(pa.int32())), pa.array([c.decode(ids)], pa.string())], ["id", "ids", "decoded"])
+            first, ids, held = 0, [], 0
+            for at, text in enumerate(batch.column(1)):
+                ids.append(c.encode(text.as_py()))
+                held += len(ids[-1])
+                if held >= BATCH_TOKENS:
+                    yield made(batch.column(0)[first : at + 1], ids)
+                    first, ids, held = at + 1, [], 0
+            if ids:
+                yield made(batch.column(0)[first:], ids)
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return chosen.mapInArrow(run, f"id {chosen.schema['id'].dataType.simpleString()}, ids array<int>, decoded string")

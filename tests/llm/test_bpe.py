@@ -21,8 +21,12 @@ def ids_of(library, text):
     return library.encode(text, add_special_tokens=False).ids
 
 
-@settings(max_examples=400, deadline=None)
-@given(WILD)
+#: Runs of any characters, signs before white space and special strings, in any order.
+MIXED = st.lists(st.one_of(WILD, st.sampled_from(["İ, ", "İ. ", "ŉ. ", "i̇, ", "<|endoftext|>", "<|STARTOFTEXT|>", ".\n", ", "])), max_size=6).map("".join)
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.one_of(WILD, MIXED))
 def test_encoding_and_decoding_equal_the_librarys(text):
     ids = ids_of(LIBRARY, text)
     assert CODEC.encode(text) == ids
@@ -54,10 +58,23 @@ def test_merging_skips_stale_entries():
     assert CODEC.merge(word) == Tokenizer.from_file(PATH).encode(word, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["İ, x", "İ. x", "Aİ, x", "aİ.\nb", "ĲİĲ. Ŀ, x"])
+def test_lower_case_that_ends_in_a_mark(library, text):
+    assert CODEC.encode(text) == ids_of(library, text)
+    assert LIBRARY_CODEC.encode_bytes(text) == CODEC.encode_bytes(text)
+
+
 def test_caches_start_anew_when_full(library):
-    cache = bpe.Cache(len, most=2)
-    assert [cache[x] for x in ("a", "bb", "ccc", "a")] == [1, 2, 3, 1]
-    assert len(cache) <= 2
+    cache = bpe.Cache(len, most=2, longest=3)
+    assert [cache[x] for x in ("a", "bb", "ccc", "a", "dddd")] == [1, 2, 3, 1, 4]
+    assert len(cache) <= 2 and "dddd" not in cache
+
+
+def test_long_pieces_are_not_kept(library):
+    text = "中文没有空格" * 2000 + " aGVsbG8" * 3 + "x" * 500
+    codec = bpe.Codec(PATH)
+    assert codec.encode(text) == ids_of(library, text)
+    assert all(len(k) <= bpe.CACHE_CHARS for cache in (codec.cache, codec.word_ids) for k in cache)
 
 
 def test_digests(spark, library):
@@ -74,6 +91,13 @@ def test_digests(spark, library):
     assert bpe.encode_digests(frame.limit(0), PATH).count() == 0
 
 
+def test_batches_of_documents(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "BATCH_TOKENS", 5)
+    rows = [(k, "one two three" * (k % 3)) for k in range(20)] + [(None, None)]
+    got = bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    assert sorted((str(r["id"]), r["ids"]) for r in got) == sorted((str(k), CODEC.encode(t)) for k, t in rows)
+
+
 def test_documents(spark):
     row = bpe.encode_documents(spark.createDataFrame([(1, "Hi there")], "doc_id long, text string"), PATH).first()
     assert row["ids"] == CODEC.encode("Hi there") and row["decoded"] == CODEC.decode(row["ids"])
