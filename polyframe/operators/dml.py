@@ -1,7 +1,7 @@
 """UPDATE, DELETE and MERGE as rewrites of whole tables, for sources without row-level operations.
 
 The rewrites are DataFrames; ``Table`` wraps them as lazy statements that replace a catalog table
-through a staging table, so that a failed write leaves the table as it was.
+through a staging table, so that no failed write loses rows.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import warnings
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 Condition = str | Column | bool | Sequence[str | Column] | None
@@ -176,18 +176,35 @@ def merged(target: DataFrame, source: DataFrame, condition: Condition, clauses:
     return chosen.where(kept).select(*columns)
 
 
+class ReplaceFailed(RuntimeError):
+    """A table could not be overwritten; ``staging`` names the table that holds all its new rows."""
+
+    def __init__(self, name: str, staging: str):
+        super().__init__(f"overwriting {name} failed, its state is unknown; all its new rows stand in {staging}: insert them from there, then drop it")
+        self.name, self.staging = name, staging
+
+
 def replace_table(spark: SparkSession, name: str, frame: DataFrame) -> int:
-    """Replaces a catalog table's rows; the new rows are written to a staging table first. Returns their number."""
+    """Replaces a catalog table's rows; returns their number, counted by the write itself.
+
+    The new rows are written to a staging table first: if that fails, the table is as it was and
+    nothing is left behind. The staging table is dropped only after the table has been overwritten;
+    if overwriting fails, it stays, and ``ReplaceFailed`` names it.
+    """
     staging = f"{name}__{uuid.uuid4().hex[:12]}"
-    frame.write.saveAsTable(staging)
+    counted = Observation(staging)
     try:
-        fresh = spark.table(staging)
-        rows = fresh.count()
-        fresh.write.insertInto(name, overwrite=True)
-    finally:
+        frame.observe(counted, F.count(F.lit(1)).alias("rows")).write.saveAsTable(staging)
+    except BaseException:
         spark.sql(f"DROP TABLE IF EXISTS {staging}")
+        raise
+    try:
+        spark.table(staging).write.insertInto(name, overwrite=True)
+    except BaseException as error:
+        raise ReplaceFailed(name, staging) from error
+    spark.sql(f"DROP TABLE IF EXISTS {staging}")
     spark.catalog.refreshTable(name)
-    return rows
+    return counted.get["rows"]
 
 
 @dataclass(frozen=True)

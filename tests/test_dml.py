@@ -5,7 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from polyframe.operators.dml import Table, WhenMatched, WhenNotMatched, WhenNotMatchedBySource, deleted, merged, updated
+from polyframe.operators.dml import ReplaceFailed, Table, WhenMatched, WhenNotMatched, WhenNotMatchedBySource, deleted, merged, updated
 from polyframe.testing import rows
 
 
@@ -50,6 +50,34 @@ def test_delete_keeps_rows_of_null_conditions(spark):
     assert rows(deleted(frame, "b > 1")) == [(1, None)]
 
 
+def test_emptied_table(spark, table):
+    assert table.delete(where="true").execute() == 0
+    assert Table(spark, table.name).update({"age": 1}, where="age > 0").execute() == 0
+    assert spark.table(table.name).isEmpty()
+
+
+def test_failed_staging_leaves_the_table(spark, table):
+    with pytest.raises(Exception, match="(?i)raise|stop"):
+        table.update({"age": F.raise_error(F.lit("stop")).cast("int")}, where="employee_id = 3").execute()
+    assert spark.table(table.name).count() == 5
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith(f"{table.name}__")] == []
+
+
+def test_failed_overwrite_keeps_the_new_rows(spark, table, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    def broken(self, *_):
+        raise OSError("no space left")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(DataFrameWriter, "insertInto", broken)
+        with pytest.raises(ReplaceFailed) as caught:
+            table.delete(where="employee_id < 4").execute()
+    assert caught.value.name == table.name
+    assert sorted(r[0] for r in rows(spark.table(caught.value.staging))) == [4, 5]
+    spark.sql(f"DROP TABLE {caught.value.staging}")
+
+
 def test_merge_simple(spark, table):
     source = spark.createDataFrame([(1, "Jack", "Shephard", 38, 2), (6, "Mary", "Sue", 21, 45)], ["employee_id", "fname", "lname", "age", "store_id"])
     table.merge(
