@@ -7,29 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from ..session import shared_dir
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where the session has none, one of our own is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = LOCAL_CHECKPOINTS
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 class Scratch:
     """Tables written to the shared folder to cut lineage; they survive lost executors.
 
-    ``keep`` writes a frame as Parquet and rereads it. ``drop`` removes a table that no later
-    frame reads; what is left goes when the driver's interpreter ends.
+    ``keep`` writes a frame as Parquet and rereads it. ``drop`` removes tables that no later frame
+    reads, which operators do as soon as a table is consumed; what their results still read goes
+    when the driver's interpreter ends, or with ``clear``.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -47,8 +37,9 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def drop(self, frame: DataFrame) -> None:
-        self._delete(frame._scratch_path)
+    def drop(self, *frames: DataFrame) -> None:
+        for frame in frames:
+            self._delete(frame._scratch_path)
 
     def clear(self) -> None:
         self._delete(self.base)

@@ -264,3 +264,107 @@ def test_rendering(spark):
     got = {r["media_id"]: r["media"] for r in media.rendered(frame).collect()}
     assert got[2] is None and got[3] is None and media.decode(bytes(got[4])).shape == (8, 8)
     assert media.decode(bytes(got[1])).shape == (16, 16)
+
+
+def patched(rng, patches):
+    """A picture of shared patches with a mark that all pictures bear."""
+    p = np.block([[patches[rng.integers(len(patches))] for _ in range(5)] for _ in range(5)])
+    p[:32, :32] = patches[0]
+    return p
+
+
+def test_recall_among_shared_patches(spark):
+    """Against comparing all pairs, in pictures whose patches hundreds of others hold."""
+    rng = np.random.default_rng(8)
+    patches = [np.kron(rng.uniform(0, 255, (4, 4)), np.ones((8, 8))) for _ in range(60)]
+    edits = list(EDITS.values())
+    base = [patched(rng, patches) for _ in range(150)]
+    shown = base + [edits[k % len(edits)](p) for k, p in enumerate(base)]
+    rows = [(k, media.encode_pgm(p)) for k, p in enumerate(shown)]
+    got = {r["media_id"]: r["component_id"] for r in media.copies(spark.createDataFrame(rows, "media_id long, media binary")).collect()}
+    known = [media.describe(media.decode(raw)[None])[0] for _, raw in rows]
+    pairs = [(a, b) for a in range(len(known)) for b in range(a) if media.agree(known[a], known[b])]
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs)
+    roots = union(len(known), pairs + [(b, a) for a in range(len(known)) for b in range(a) if media.agree(known[b], known[a])])
+    assert all(roots[got[k]] == roots[k] for k in got)  # nothing is joined that no pair joins
+
+
+def test_neighbours_meet_across_batches():
+    import pyarrow as pa
+
+    columns = [np.repeat([0, 0, 1], [5, 4, 3]), np.zeros(12, int), np.repeat([7, 8, 8], [5, 4, 3]), np.arange(12)]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], list("abcd"))
+    wanted = {(a, b) for a in range(12) for b in range(a) if a - b <= media.NEAR and (columns[0][a], columns[2][a]) == (columns[0][b], columns[2][b])}
+    for size in (12, 5, 1):
+        out = [p for part in media._neighbours(whole.slice(at, size) for at in range(0, 12, size)) for p in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+        assert sorted(out) == sorted(wanted)
+
+
+def hostile():
+    import struct
+    import zlib
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    def file(w, h, data, kind=0):
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + chunk(b"IDAT", data) + chunk(b"IEND", b"")
+
+    whole = file(8, 8, zlib.compress(bytes(72)))
+    return [
+        b"P5\n0 0\n255\n", b"P5\n5 0\n255\n", b"P5\n0 5\n255\n", b"P5\n99999999999999 99999999999\n255\n", b"P5\n" + b"9" * 6000 + b" 1\n255\n", b"P6\n4 4\n255\n" + bytes(47), b"P5 4 4 0\n" + bytes(16), b"P5\n-4 4\n255\n", b"P5 #", b"P5\n4",
+        file(0, 0, zlib.compress(b"")), file(4294967295, 4294967295, b""), file(60000, 60000, zlib.compress(bytes(1 << 20))), file(8, 8, zlib.compress(bytes(71))), file(8, 8, zlib.compress(bytes([9]) * 72)),
+        whole[:20], whole[:40], whole[: len(whole) // 2], whole.replace(b"IDAT", b"IDAX"), b"\x89PNG\r\n\x1a\n",
+    ]
+
+
+@pytest.mark.parametrize("k", range(len(hostile())))
+def test_hostile_media(k):
+    assert media.decode(hostile()[k]) is None
+
+
+def test_compressed_bombs_stay_small():
+    import struct
+    import tracemalloc
+    import zlib
+
+    data = zlib.compress(bytes(200 << 20), 9)
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", 0)
+    raw = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 30, 30, 8, 0, 0, 0, 0)) + chunk(b"IDAT", data)
+    tracemalloc.start()
+    assert media.decode(raw).shape == (30, 30)
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 4])
+@pytest.mark.parametrize("kinds", [(0, 1, 2), (0, 1, 2, 3, 4)])
+def test_filters_are_undone(depth, kinds):
+    rng = np.random.default_rng(depth)
+    want = rng.integers(0, 256, (13, 9, depth)).astype(np.uint8)
+    padded = np.pad(want, ((1, 0), (1, 0), (0, 0))).astype(int)
+    used = rng.choice(kinds, 13).astype(np.uint8)
+    used[0] = max(kinds)
+    coded = np.zeros_like(want)
+    for y in range(13):
+        for x in range(9):
+            for c in range(depth):
+                left, up, corner = padded[y + 1, x, c], padded[y, x + 1, c], padded[y, x, c]
+                p = left + up - corner
+                near = sorted((abs(p - v), k, v) for k, v in enumerate((left, up, corner)))[0][2]
+                coded[y, x, c] = (int(want[y, x, c]) - (0, left, up, (left + up) // 2, near)[used[y]]) % 256
+    assert (media._unfiltered(used, coded) == want).all()
+
+
+def test_hostile_media_in_a_table(spark):
+    rows = [*enumerate(hostile()), (500, media.encode_pgm(pictures(1)[0])), (501, media.encode_pgm(pictures(1)[0] * 0.9))]
+    got = {r["media_id"]: r["component_id"] for r in media.copies(spark.createDataFrame(rows, "media_id long, media binary").repartition(3)).collect()}
+    assert got[501] == 500 and all(got[k] == k for k in range(len(hostile())))
+
+
+def test_large_pictures_have_more_corners():
+    big = np.kron(np.random.default_rng(1).uniform(0, 255, (64, 64)), np.ones((8, 8))).astype(np.float32)
+    whole = media.describe(big[None])[0]
+    assert len(whole["x"]) > 3 * (16 + 8 + 4)
+    for y, x in ((0, 0), (128, 100), (256, 256)):
+        assert media.agree(whole, media.describe(big[None, y : y + 256, x : x + 256])[0])  # a quarter of the picture
