@@ -292,12 +292,33 @@ def test_recall_among_shared_patches(spark):
 def test_neighbours_meet_across_batches():
     import pyarrow as pa
 
-    columns = [np.repeat([0, 0, 1], [5, 4, 3]), np.zeros(12, int), np.repeat([7, 8, 8], [5, 4, 3]), np.arange(12)]
-    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], list("abcd"))
-    wanted = {(a, b) for a in range(12) for b in range(a) if a - b <= media.NEAR and (columns[0][a], columns[2][a]) == (columns[0][b], columns[2][b])}
-    for size in (12, 5, 1):
-        out = [p for part in media._neighbours(whole.slice(at, size) for at in range(0, 12, size)) for p in zip(*(c.to_pylist() for c in part.columns), strict=True)]
-        assert sorted(out) == sorted(wanted)
+    slot, rank, own = np.repeat([7, 8, 8], [5, 4, 4]), np.repeat([0, 1, 2], [5, 4, 4]), np.arange(13)
+    own[6] = own[5]  # two corners of one picture
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in (slot, own, rank, 100 + own)], list("abcd"))
+    wanted = [(own[a], own[b]) for a in range(13) for b in range(a) if a - b <= media.NEAR and (slot[a], rank[a]) == (slot[b], rank[b]) and own[a] != own[b]]
+    for size in (13, 5, 1):
+        out = [p for part in media._neighbours(whole.slice(at, size) for at in range(0, 13, size)) for p in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+        assert sorted((u, v) for u, _, v, _ in out) == sorted(wanted)
+        assert all((p, q) == (100 + u, 100 + v) for u, p, v, q in out)
+
+
+def test_corners_vote_for_a_pose(spark):
+    """Two corners that moved alike make a candidate; two that moved differently, or one in many tables, do not."""
+    def row(number, keys, xs, ys):
+        f = {"x": xs, "y": ys, "level": [0] * len(xs), "direction": [3] * len(xs)}
+        return number, [k for key in keys for k in [key] * 8], media.places(f).tolist()
+
+    near = [row(1, [5, 6, 7], [10, 90, 50], [10, 20, 80]), row(2, [5, 6, 9], [15, 95, 50], [12, 22, 10])]
+    apart = row(3, [15, 16, 9], [10, 90, 50], [10, 20, 80]), row(4, [15, 16, 8], [90, 10, 50], [10, 20, 80])
+    frame = spark.createDataFrame([*near, *apart], "id long, keys array<int>, places array<long>")
+    assert [tuple(r) for r in media.candidates(frame, media.ORDERS[0]).collect()] == [(2, 1)]
+
+
+def test_sketches_tell_alike_from_different():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(-(1 << 31), 1 << 31, (2, 224))
+    mixed = np.where(rng.random(224) < 0.8, a, b)
+    assert (media.sketch(a) == media.sketch(mixed)).mean() > 0.3 and not (media.sketch(a) == media.sketch(b)).any()
 
 
 def hostile():
