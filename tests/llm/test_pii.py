@@ -126,3 +126,34 @@ def test_numbers_that_a_base_match_runs_past(spark):
     got = {r["doc_id"]: r for r in pii.detect(docs).collect()}
     assert base_spans(text) == [] and got[1]["n_card"] == 0
     assert got[1]["spans"] == "phone:9:23,card:24:40"
+
+
+def test_many_spans_in_one_text(spark):
+    """20,000 spans are found and redacted in little more than their share of time, and as one by one."""
+    import time
+
+    unit = "mail a%d@x.org now token=abcdefghijkl%05d0123456789 "
+    text = "".join(unit % (k, k) for k in range(10000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    row, redacted = pii.detect(docs).first(), pii.redact(docs).first()["text"]
+    assert time.time() - began < 120
+    assert row["n_email"] == 10000 and row["spans"].count("secret") == 10000
+    assert redacted == "mail [EMAIL] now [SECRET] " * 10000
+
+
+def test_overlaps_are_found_in_blocks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(pii, "BLOCK", 4)
+    rnd = random.Random(2)
+    rows = [(sorted((a, a + rnd.randrange(1, 30), 0) for a in (rnd.randrange(200) for _ in range(n))), rnd.randrange(220), rnd.randrange(1, 40)) for n in [*range(12), 50]]
+    frame = spark.createDataFrame([(s, a, a + w) for s, a, w in rows], "s array<struct<start:int,end:int,kind:int>>, a int, b int")
+    for s, a, b, got in frame.select("s", "a", "b", pii.overlapping(pii.blocked(F.col("s")), F.col("a"), F.col("b"))).collect():
+        assert got == [x for x in s if x["start"] < b and a < x["end"]]
+
+
+def test_candidates_are_sought_once(spark):
+    docs = spark.createDataFrame([(1, "mail me: jo@ex.org")], "doc_id long, text string")
+    plan = pii.redact(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan and not any(p in plan for _, p in pii.PROPOSALS)
