@@ -2,14 +2,16 @@
 
 Equal vectors of a label become one class with the smallest id and a count (partial aggregation),
 so copies cost one row per task. The classes of a label are dealt to shards of about ``SHARD``
-residents; every class queries every shard of its label. A task streams the rows of its shards:
-residents come first and are built into a graph, queries follow in batches, so memory is bounded by
-one shard. In a shard
+residents; every class queries every shard of its label. The queries of a shard are dealt to chunks
+of about ``CHUNK``, each with the shard's residents, so that no task grows with its label: it holds
+one shard, builds its graph and streams one chunk of queries through it in batches. Vectors travel
+in their own type. In a shard
 
 - beams over the graph find links, which are verified by cosine in double precision and united;
 - members of a component are then compared exactly, in blocks, which completes link counts;
 - an audit compares a sample of queries with brute force over the shard; if any link is missing,
-  beams are doubled and the shard is searched again, at the end with beams as wide as the shard.
+  beams are doubled and the shard is searched again. A beam as wide as the shard meets only what the
+  graph connects; if the audit still misses a link, the shard is compared by brute force, in blocks.
 
 A shard emits at most one edge for each vector and component met. ``graph.components`` unites them.
 
@@ -28,13 +30,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import Scratch
 from .graph import components
 
 SIMILARITY = 0.98
-#: Residents of a shard, queries searched at once, queries of a batch that are audited.
-SHARD, BATCH, AUDIT = 16384, 512, 64
+#: Residents of a shard, queries of a chunk, queries searched at once, queries of a batch that are audited.
+SHARD, CHUNK, BATCH, AUDIT = 8192, 32768, 512, 128
+#: Most tasks of the search; beyond it a task works through several chunks, one after the other.
+TASKS = 1 << 16
 #: Links of a new node, most links of a node, beam while building, first beam of queries.
 LINKS, WIDTH, BUILD_BEAM, QUERY_BEAM = 10, 32, 64, 16
 #: Nodes expanded by one step of a beam.
@@ -178,7 +183,10 @@ class Shard:
         self.root = np.arange(len(ids))
         while True:
             self._unite(self.width)
-            if self.width >= len(ids) or self._audit():
+            if self._audit():
+                break
+            if self.width >= len(ids):
+                self._unite_all()
                 break
             self.width *= 2
         order = np.argsort(self.root, kind="stable")
@@ -208,11 +216,22 @@ class Shard:
             own = np.arange(at, min(n, at + BATCH))
             found = self.graph.beam(self.graph.x[own], own[:, None], width)[0]
             linked = (found >= 0) & (np.einsum("qd,qcd->qc", self.unit[own], self.unit[found]) >= self.similarity)
-            for a, b in zip(*(x.tolist() for x in (own[np.nonzero(linked)[0]], found[linked])), strict=True):
-                a, b = self._find(a), self._find(b)
-                self.root[max(a, b)] = min(a, b)
+            self._join(own[np.nonzero(linked)[0]], found[linked])
         self.root = np.array([self._find(x) for x in range(n)], dtype=np.int64)
 
+    def _unite_all(self) -> None:
+        """Every pair of residents, in blocks."""
+        n = len(self.ids)
+        for at in range(0, n, BATCH):
+            a, b = np.nonzero(self.unit[at : at + BATCH] @ self.unit.T >= self.similarity)
+            self._join(a + at, b)
+        self.root = np.array([self._find(x) for x in range(n)], dtype=np.int64)
+
+    def _join(self, a: np.ndarray, b: np.ndarray) -> None:
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = self._find(x), self._find(y)
+            self.root[max(x, y)] = min(x, y)
+
     def _audit(self) -> bool:
         """Whether every link of a sample of residents lies within their components."""
         n = len(self.ids)
@@ -234,7 +253,11 @@ class Shard:
                 roots[a].add(b)
             sample = range(0, len(unit), max(1, len(unit) // AUDIT))
             hits = self.unit @ unit[list(sample)].T >= self.similarity
-            if self.width >= len(self.ids) or all(set(self.root[hits[:, k]].tolist()) <= roots[q] for k, q in enumerate(sample)):
+            if all(set(self.root[hits[:, k]].tolist()) <= roots[q] for k, q in enumerate(sample)):
+                break
+            if self.width >= len(self.ids):
+                every = self.unit @ unit.T >= self.similarity
+                roots = [set(self.root[every[:, q]].tolist()) for q in range(len(unit))]
                 break
             self.width *= 2
         links = np.zeros(len(unit), dtype=np.int64)
@@ -258,7 +281,7 @@ def _searcher(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(n, pa.int64()), pa.array(v, pa.int64())], ["u", "n", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group (label, length, shard), residents before queries."""
+        """Rows come sorted by group (label, length, shard, chunk), residents before queries; the first chunk emits the residents."""
         group, held, shard = None, [], None
 
         def built() -> tuple[Shard, pa.RecordBatch]:
@@ -268,19 +291,19 @@ def _searcher(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterato
             return made, out(made.ids.tolist(), made.links.tolist(), made.ids[made.root].tolist())
 
         for batch in batches:
-            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4)])
+            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)])
             cuts = [0, *(np.flatnonzero((np.diff(key) != 0).any(axis=0)) + 1).tolist(), key.shape[1]]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a == b:
                     continue
-                label, size, number, foreign = key[:, a].tolist()
+                label, size, number, chunk, foreign = key[:, a].tolist()
                 part = batch.slice(a, b - a)
-                ids, copies = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (4, 5))
-                unit = _unit(part.column(6).flatten().to_numpy(zero_copy_only=False), size)
-                if (label, size, number) != group:
-                    if held:
+                ids, copies = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (5, 6))
+                unit = _unit(part.column(7).flatten().to_numpy(zero_copy_only=False), size)
+                if (label, size, number, chunk) != group:
+                    if held and not group[3]:
                         yield built()[1]
-                    group, held, shard = (label, size, number), [], None
+                    group, held, shard = (label, size, number, chunk), [], None
                 if not foreign:
                     held.append((ids, copies, unit))
                     continue
@@ -289,38 +312,48 @@ def _searcher(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                         continue  # no resident here
                     shard, made = built()
                     held = []
-                    yield made
+                    if not chunk:
+                        yield made
                 for at in range(0, len(ids), BATCH):
                     links, roots = shard.query(unit[at : at + BATCH])
                     rows = [(u, n if first else 0, int(shard.ids[r])) for u, n, own in zip(ids[at : at + BATCH].tolist(), links.tolist(), roots, strict=True) for first, r in zip((True, *[False] * len(own)), sorted(own), strict=False)]
                     if rows:
                         yield out(*map(list, zip(*rows, strict=True)))
-        if held:
+        if held and not group[3]:
             yield built()[1]
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, shard_size: int = SHARD) -> DataFrame:
+def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, shard_size: int = SHARD, chunk_size: int = CHUNK) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "hnsw")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("e"))
+    given = vectors.schema["embedding"].dataType
+    kind = "float" if isinstance(given, ArrayType) and isinstance(given.elementType, FloatType) else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{kind}>").alias("e"))
     sound = F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("e", lambda c: c != 0)
     able = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & sound, F.lit(False))
     # Equal vectors are known by a digest from here on; -0.0 counts as 0.0.
-    digest = F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("e", lambda c: (c + 0.0).cast("string"))), 256)
+    digest = F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.transform("e", lambda c: (c + F.lit(0).cast(kind)).cast("string"))), 256)
     keyed = scratch.keep(rows.select("vec_id", "label", F.when(able, digest).alias("key"), F.when(able, F.col("e")).alias("e")))
     classes = scratch.keep(keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("e").alias("e")))
-    sizes = classes.groupBy("label", F.size("e").alias("size")).agg(F.ceil(F.count("*") / shard_size).cast("int").alias("shards"))
-    homes = classes.withColumn("size", F.size("e")).join(sizes, ["label", "size"]).withColumn("home", F.pmod(F.xxhash64("key"), F.col("shards")))
-    sent = homes.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select("label", F.col("size").cast("long").alias("size"), F.col("shard").cast("long").alias("shard"), (F.col("shard") != F.col("home")).cast("long").alias("foreign"), "id", "copies", "e", F.col("key").alias("k"))
-    grouped = sent.repartition("label", "size", "shard").sortWithinPartitions("label", "size", "shard", "foreign", "k").drop("k")
+    rows = scratch.keep(keyed.select("vec_id", "key"))
+    scratch.drop(keyed)
+    size = F.size("e").alias("size")
+    sizes = classes.groupBy("label", size).agg(*(F.ceil(F.count("*") / n).cast("int").alias(name) for n, name in ((shard_size, "shards"), (chunk_size, "chunks"))))
+    groups = sizes.agg(F.sum(F.col("shards").cast("long") * F.col("chunks"))).first()[0] or 1
+    homes = classes.withColumn("size", size).join(sizes, ["label", "size"]).withColumn("home", F.pmod(F.xxhash64("key"), F.col("shards")))
+    placed = homes.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("foreign", F.col("shard") != F.col("home"))
+    chunk = F.when(F.col("foreign"), F.array(F.pmod(F.xxhash64("key", F.lit(3)), F.col("chunks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))
+    sent = placed.withColumn("chunk", F.explode(chunk)).select(*(F.col(c).cast("long").alias(c) for c in ("label", "size", "shard", "chunk", "foreign")), "id", "copies", "e", F.col("key").alias("k"))
+    grouped = sent.repartition(int(min(TASKS, groups)), "label", "size", "shard", "chunk").sortWithinPartitions("label", "size", "shard", "chunk", "foreign", "k").drop("k")
     found = scratch.keep(grouped.mapInArrow(_searcher(similarity), "u long, n long, v long"))
     roots = components(found.select("u", "v"), scratch)
     links = found.groupBy("u").agg(F.sum("n").alias("n"))
     named = classes.select("key", "id", "copies").join(links, F.col("id") == F.col("u"), "left").join(roots, F.col("id") == F.col("node"), "left")
     named = scratch.keep(named.select(F.col("key").alias("k"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "id").alias("c")))
-    joined = keyed.select("vec_id", "key").join(named, F.col("key") == F.col("k"), "left")
+    scratch.drop(classes, found)
+    joined = rows.join(named, F.col("key") == F.col("k"), "left")
     component = F.coalesce("c", "vec_id")
     return joined.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -178,6 +178,31 @@ def test_graph_recall():
     assert np.mean([k in found[k] for k in range(200)]) > 0.95
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_one_label_of_several_shards_and_chunks(spark, kind):
+    rows = [(k, e, 0) for k, e, _ in vectors(5, 450)]
+    frame = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int").repartition(3)
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in hnsw.near_duplicates(frame, shard_size=90, chunk_size=100).collect())
+    assert got == sorted(brute_links(rows, 0.98))
+
+
+def test_a_disconnected_graph_is_compared_by_brute_force(monkeypatch):
+    """Without edges no beam gets anywhere: audits must notice, and brute force must find every link."""
+    def no_links(self, own, found, layer):
+        return None
+
+    monkeypatch.setattr(hnsw.Graph, "_link", no_links)
+    x = np.random.default_rng(3).normal(size=(2000, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    shard = hnsw.Shard(np.arange(2000), np.ones(2000, int), x, 0.95)
+    assert (shard.links == near.sum(axis=1) - 1).all()
+    assert shard.root.tolist() == union(2000, zip(*(c.tolist() for c in np.nonzero(near)), strict=True))
+    links, roots = shard.query(x[:700])
+    assert (links == near[:700].sum(axis=1)).all()
+    assert all(set(shard.root[np.flatnonzero(near[k])].tolist()) == roots[k] for k in range(700))
+
+
 def test_audit_widens_beams():
     x = np.random.default_rng(0).normal(size=(400, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
