@@ -1,16 +1,18 @@
 """Compression classifier: zstandard dictionaries of good and of bad text decide what reads as good.
 
 A text is compressed window by window with the dictionary of good and with that of bad text. The
-difference of the compressed sizes, normalised by the text's length and drawn towards the usual
-difference of good texts where a text is short, is the only input of a logistic curve.
+difference of the compressed sizes, normalised by the text's length and drawn towards the neutral
+difference where a text is short, is the only input of a logistic curve. The neutral difference is
+the one at which the curve gives the share of label 1 among all training rows, so a text that says
+nothing scores that share.
 
 Labels are learned from rows outside the held-out fold, from a bounded sample: the ``per_class``
 rows of each label with the lowest hash of their id among texts of at most ``sample_bytes``. Half
 of it makes the dictionaries, half the curve, which then takes the share of labels among all
 training rows as prior. Nothing but the text enters a score.
 
-Defined results: a null or empty text gets the score of its shrunken difference, that of a usual
-good text; texts of any length count whole; a document with contradicting labels is not learned
+Defined results: a null or empty text gets the share of label 1 as its score; texts of any length
+count whole; a document with contradicting labels is not learned
 from; null labels and ids are not learned from (a null id is not held out); repeated rows are
 scored as often as they stand; without labels of both kinds every score is (n1 + 1) / (n0 + n1 + 1);
 an empty table gives no row; columns other than the id and the text are ignored, whatever their names.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Bytes of a window, of a dictionary, and the weight of the usual difference in bytes of text.
+#: Bytes of a window, of a dictionary, and the weight of the neutral difference in bytes of text.
 WINDOW, DICTIONARY, SHRINK, LEVEL = 512, 256 << 10, 200, 3
 #: Bounds of the labelled sample that reaches the driver: 2 * PER_CLASS texts of SAMPLE_BYTES at most.
 PER_CLASS, SAMPLE_BYTES = 4000, 16384
@@ -41,7 +43,7 @@ THRESHOLD, FOLDS, HELD_OUT = 0.7, 4, 2
 class Model:
     good: bytes
     bad: bytes
-    usual: float
+    neutral: float
     slope: float
     offset: float
 
@@ -79,7 +81,7 @@ class Scorer:
 
     def score(self, text: str | None) -> float:
         d, n = self.difference(text)
-        x = (d + SHRINK * self.model.usual) / (n + SHRINK)
+        x = (d + SHRINK * self.model.neutral) / (n + SHRINK)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.model.slope * x + self.model.offset))))
 
 
@@ -129,12 +131,21 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_b
     rough = Model(dictionary(made[1]), dictionary(made[0]), 0.0, 0.0, 0.0)
     scorer = Scorer(rough)
     found = {q: np.array([scorer.difference(t.decode("utf-8", "surrogatepass")) for t in own], dtype=float) for q, own in drawn.items()}
-    usual = float(np.median(found[1][:, 0] / found[1][:, 1]))
-    x = {q: (f[:, 0] + SHRINK * usual) / (f[:, 1] + SHRINK) for q, f in found.items()}
     share = {0: n0 / (n0 + n1), 1: n1 / (n0 + n1)}
-    weight = np.concatenate([np.full(len(x[q]), share[q] / len(x[q])) for q in (0, 1)]) * (len(x[0]) + len(x[1]))
-    slope, offset = logistic(np.concatenate([x[0], x[1]]), np.repeat([0.0, 1.0], [len(x[0]), len(x[1])]), weight)
-    return Model(rough.good, rough.bad, usual, slope, offset), n0, n1
+    weight = np.concatenate([np.full(len(found[q]), share[q] / len(found[q])) for q in (0, 1)]) * (len(found[0]) + len(found[1]))
+    truth = np.repeat([0.0, 1.0], [len(found[0]), len(found[1])])
+    d, n = np.concatenate([found[0], found[1]]).T
+    # The neutral difference follows from the curve, and the curve from it; few rounds settle both.
+    neutral = float(np.median(d / n))
+    for _ in range(20):
+        slope, offset = logistic((d + SHRINK * neutral) / (n + SHRINK), truth, weight)
+        before, neutral = neutral, (math.log(share[1] / share[0]) - offset) / slope if slope > 0 else neutral
+        if abs(neutral - before) < 1e-6:
+            break
+    else:
+        slope, offset = logistic((d + SHRINK * neutral) / (n + SHRINK), truth, weight)
+    offset = math.log(share[1] / share[0]) - slope * neutral  # exact for a text that says nothing
+    return Model(rough.good, rough.bad, neutral, slope, offset), n0, n1
 
 
 def score(docs: DataFrame, fitted: tuple[Model | None, int, int], keep: list[str] | None = None) -> DataFrame:

@@ -76,3 +76,23 @@ def test_labels_of_one_kind(spark, frames, known, expected):
     own = [k for k, _ in known if zlib.crc32(str(k).encode()) % 4 != 2]
     scores = {r["score"] for r in quality.classify(docs, labels).collect()}
     assert scores == {expected if expected is not None else 1 / (len(own) + 1)}
+
+
+def test_empty_texts_score_the_share_of_good_labels(spark, frames):
+    docs, labels, truth = frames
+    known = [q for k, q in truth.items() if zlib.crc32(str(k).encode()) % 4 != 2]
+    fitted = quality.fit(docs, labels)
+    scorer = quality.Scorer(fitted[0])
+    assert scorer.score(None) == scorer.score("") == pytest.approx(sum(known) / len(known), abs=1e-9)
+    assert abs(scorer.score("a") - scorer.score("")) < 0.05  # a letter says next to nothing
+
+
+def test_held_out_accuracy_on_documents(spark):
+    """Of the labelled documents that nothing was learned from."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.classify(docs, labels).where("held_out").join(labels, "doc_id").collect()
+    assert len(got) > 500
+    assert sum(r["predicted"] == r["quality"] for r in got) >= 0.98 * len(got)
+    good = [r["predicted"] for r in got if r["quality"] == 1]
+    assert sum(good) >= 0.99 * len(good)
