@@ -5,9 +5,11 @@ shuffled and nothing grows with the input. In a shard:
 
 1. whole windows are cut off long documents, which leaves each document a rest shorter than one;
 2. rests are counted in length classes (the histogram);
-3. shallow combinations - up to ``DEPTH`` classes whose sum fills a window - are enumerated, and
-   non-negative least squares finds how often each must repeat to use up the histogram;
-4. repeats are rounded down and windows are built from them;
+3. shallow combinations - up to ``DEPTH`` different classes that fill a window, one of the short
+   ones as often as fits - are enumerated, and non-negative least squares over tokens finds how
+   often each must repeat to use up the histogram;
+4. repeats are rounded down, windows are built from them, and what is left of the histogram is
+   solved again, up to ``ROUNDS`` times;
 5. what is left is packed greedily: residual documents are cut into the gaps of those windows, then
    into further windows.
 
@@ -41,7 +43,7 @@ from .bpe import BLOCK_CHARS, SPACE, Cache, byte_symbols, latin, pieces
 
 WINDOW = 4096
 CLASSES = 64
-DEPTH = 3
+DEPTH, ROUNDS = 3, 4
 #: A shard closes once it holds so many tokens (16 MB of ids). A long document can pass it by its own length.
 SHARD_TOKENS = 4 << 20
 #: Sequence ids hold the partition in their upper bits.
@@ -104,13 +106,22 @@ def codec(path: str) -> LibraryCodec:
 
 @lru_cache(maxsize=4)
 def fills(classes: int, depth: int) -> np.ndarray:
-    """Combinations of 1 to ``depth`` length classes 1..classes that sum to ``classes``, as columns of counts."""
-    columns = []
+    """Combinations of length classes 1..classes that sum to ``classes``, as columns of counts.
+
+    Those of 1 to ``depth`` documents, and those of one document of any class or none, as many of a
+    short class (up to classes / depth) as fit, and one that fills the rest.
+    """
+    found: set[tuple[int, ...]] = set()
     for n in range(1, depth + 1):
         for parts in combinations_with_replacement(range(1, classes + 1), n - 1):
             rest = classes - sum(parts)
             if rest >= (parts[-1] if parts else 1):
-                columns.append(np.bincount([*parts, rest], minlength=classes + 1)[1:])
+                found.add((*parts, rest))
+    for long in range(classes):
+        for short in range(1, classes // depth + 1):
+            times, rest = divmod(classes - long, short)
+            found.add(tuple(sorted([*[x for x in (long, rest) if x], *[short] * times])))
+    columns = sorted(tuple(np.bincount(parts, minlength=classes + 1)[1:].tolist()) for parts in found)
     return np.array(columns, dtype=float).T
 
 
@@ -133,6 +144,28 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 60) -> np.ndarray:
     return x
 
 
+def combined(pools: list[list[Piece]], depth: int = DEPTH) -> list[list[Piece]]:
+    """Windows built from combinations; their documents are taken from the pools of the classes."""
+    classes = len(pools)
+    ways, tokens = fills(classes, depth), np.arange(1, classes + 1)[:, None]
+    built: list[list[Piece]] = []
+    for _ in range(ROUNDS):
+        count = np.array([len(p) for p in pools], dtype=float)
+        repeats = np.floor(nnls(ways * tokens, count * tokens[:, 0]) + 1e-9).astype(int)
+        before = len(built)
+        for way in np.argsort(-repeats, kind="stable"):
+            if not repeats[way]:
+                break
+            need = ways[:, way].astype(int)
+            kinds = np.flatnonzero(need).tolist()
+            # Rounding may have let an earlier combination take some of these.
+            for _ in range(min(int(repeats[way]), *(len(pools[k]) // int(need[k]) for k in kinds))):
+                built.append([pools[k].pop() for k in kinds for _ in range(need[k])])
+        if len(built) == before:
+            break
+    return built
+
+
 def plan(lengths: list[int], window: int = WINDOW, classes: int = CLASSES, depth: int = DEPTH) -> list[list[Piece]]:
     """Sequences, as lists of pieces, that hold each token of documents of these lengths once."""
     out: list[list[Piece]] = []
@@ -146,18 +179,7 @@ def plan(lengths: list[int], window: int = WINDOW, classes: int = CLASSES, depth
     pools: list[list[Piece]] = [[] for _ in range(classes)]
     for rest in rests:
         pools[-(-rest[2] // width) - 1].append(rest)
-    ways = fills(classes, depth)
-    repeats = np.floor(nnls(ways, np.array([len(p) for p in pools], dtype=float)) + 1e-9).astype(int)
-    built: list[list[Piece]] = []
-    for way in np.argsort(-repeats, kind="stable"):
-        if not repeats[way]:
-            break
-        kinds = np.repeat(np.arange(classes), ways[:, way].astype(int))
-        for _ in range(repeats[way]):
-            need = np.bincount(kinds, minlength=classes)
-            if any(len(pools[k]) < need[k] for k in set(kinds)):
-                break  # rounding let an earlier combination take these
-            built.append([pools[k].pop() for k in kinds])
+    built = combined(pools, depth)
     left = deque(sorted((r for p in pools for r in p), key=lambda r: -r[2]))
     closed: list[list[Piece]] = []
     at = 0

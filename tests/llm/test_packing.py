@@ -79,3 +79,37 @@ def test_shards_are_bounded(spark, monkeypatch):
     pieces = packing.pack_digests(frame, PATH).collect()
     assert sum(p["length"] for p in pieces) == 200 * 51
     assert len({p["sequence_id"] for p in pieces}) == len({(p["sequence_id"], p["offset"]) for p in pieces if p["offset"] == 0})
+
+
+@pytest.fixture(scope="module")
+def lengths():
+    import duckdb
+
+    codec = packing.LibraryCodec(PATH)
+    texts = duckdb.sql("SELECT text FROM '/root/testdata/sf0.1/documents.parquet' ORDER BY doc_id").fetchall()
+    return [len(codec.encode_bytes(t)) // 4 + 1 for (t,) in texts]
+
+
+def test_most_documents_are_placed_by_combinations(lengths):
+    width = packing.WINDOW // packing.CLASSES
+    pools = [[] for _ in range(packing.CLASSES)]
+    rests = [n % packing.WINDOW for n in lengths if n % packing.WINDOW]
+    for k, n in enumerate(rests):
+        pools[-(-n // width) - 1].append((k, 0, n))
+    built = packing.combined(pools)
+    placed = sum(map(len, built))
+    print(f"{placed / len(rests):.1%} of {len(rests)} documents placed by combinations")
+    assert placed >= 0.8 * len(rests)
+    assert placed + sum(map(len, pools)) == len(rests)
+    assert all(sum(n for _, _, n in w) <= packing.WINDOW for w in built)
+
+
+def test_documents_of_the_table(lengths):
+    check_plan(lengths, packing.WINDOW)
+
+
+def test_combinations_fill_their_window():
+    ways = packing.fills(packing.CLASSES, packing.DEPTH)
+    assert (ways.T @ np.arange(1, packing.CLASSES + 1) == packing.CLASSES).all()
+    assert len({tuple(w) for w in ways.T}) == ways.shape[1]
+    assert ((ways > 0).sum(axis=0) <= packing.DEPTH).all()
