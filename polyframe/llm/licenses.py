@@ -9,9 +9,10 @@ of the template's distinct 5-word shingles.
 2. Templates are put in length classes. For each class, overlapping windows are cut from a text:
    a regular expression's lookahead captures the window while its match consumes the stride, so one
    pass makes all windows. A stretch of the class's longest template lies whole in a window.
-3. Each window gets ``BANDS`` MinHash values, one a band. The Jaccard similarity J of a window and a
-   template that it holds has a lower bound (``least_jaccard``), so the bands miss it with
-   probability (1 - J)^BANDS, below 1e-4 for the templates here. Bands retrieve templates by a join.
+3. Each window gets MinHash values, one a band. The Jaccard similarity J of a window and a template
+   that it holds has a lower bound (``least_jaccard``), so n bands miss it with probability (1 - J)^n
+   at most. n is at least ``BANDS``, and whatever the templates need for ``MISS`` or less
+   (``bands_of``). Bands retrieve templates by a join.
 4. Retrieved templates are verified by exact containment of shingles.
 
 The template table is broadcast up to ``BROADCAST_ROWS`` band rows, a bound that is checked;
@@ -25,6 +26,7 @@ empty table gives no row; columns other than the id and the text are ignored, wh
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .templates import TEMPLATES
 
-SHINGLE, SHARE, BANDS = 5, 0.8, 48
+SHINGLE, SHARE, BANDS, MISS = 5, 0.8, 48, 1e-8
 BROADCAST_ROWS = 100_000
 #: Ratio of the longest to the shortest template of a length class.
 CLASS_RATIO = 1.5
@@ -82,6 +84,12 @@ def classes(templates: dict[str, str]) -> list[Class]:
     return [Class(own[-1][0], tuple((name, s) for _, name, s in own)) for own in out]
 
 
+def bands_of(templates: dict[str, str]) -> int:
+    """Bands with which no window that holds a template is missed with a probability above ``MISS``."""
+    least = min((own.least_jaccard() for own in classes(templates)), default=1.0)
+    return max(BANDS, math.ceil(math.log(MISS) / math.log1p(-least)) if least < 1 else 1)
+
+
 def anchors(templates: dict[str, str]) -> list[str]:
     """Words such that any ``SHARE`` of a template's shingles holds one; long words first, few in all."""
     left = {name: [frozenset(s.split()) for s in shingles_of(words_of(t))] for name, t in templates.items()}
@@ -104,12 +112,12 @@ def _shingles(window: Column) -> Column:
     return F.flatten(F.transform(F.array(words), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (SHINGLE - 1)), lambda k: F.array_join(F.slice(w, k, SHINGLE), " ")))))
 
 
-def _bands(shingles: Column) -> Column:
+def _bands(shingles: Column, number: int) -> Column:
     def least(hashes: Column, band: int) -> Column:
         return F.array_min(F.transform(hashes, lambda x: F.xxhash64(x, F.lit(band))))
 
     hashes = F.transform(shingles, lambda s: F.xxhash64(s))
-    return F.flatten(F.transform(F.array(hashes), lambda h: F.array(*(least(h, band) for band in range(BANDS)))))
+    return F.flatten(F.transform(F.array(hashes), lambda h: F.array(*(least(h, band) for band in range(number)))))
 
 
 def windows(docs: DataFrame, templates: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,13 +140,14 @@ def windows(docs: DataFrame, templates: dict[str, str], id_col: str = "doc_id",
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and license held: doc_id, license, containment, n_windows."""
+    number = bands_of(templates)
     rows = [F.struct(F.lit(own.longest).alias("tclass"), F.lit(name).alias("license"), F.array(*map(F.lit, s)).alias("tshingles")) for own in classes(templates) for name, s in own.templates]
     known = docs.sparkSession.range(1, numPartitions=1).select(F.inline(F.array(*rows)))
-    table = known.select("tclass", "license", "tshingles", F.posexplode(_bands(F.col("tshingles"))).alias("tband", "tvalue"))
-    if len(rows) * BANDS <= BROADCAST_ROWS:
+    table = known.select("tclass", "license", "tshingles", F.posexplode(_bands(F.col("tshingles"), number)).alias("tband", "tvalue"))
+    if len(rows) * number <= BROADCAST_ROWS:
         table = F.broadcast(table)
     found = windows(docs, templates, id_col, text_col).withColumn("window", F.monotonically_increasing_id())
-    banded = found.select("doc_id", "window", "class", "shingles", F.posexplode(_bands(F.col("shingles"))).alias("band", "value"))
+    banded = found.select("doc_id", "window", "class", "shingles", F.posexplode(_bands(F.col("shingles"), number)).alias("band", "value"))
     met = banded.join(table, (F.col("class") == F.col("tclass")) & (F.col("band") == F.col("tband")) & (F.col("value") == F.col("tvalue")))
     held = met.select("doc_id", "license", "window", (F.size(F.array_intersect("shingles", "tshingles")) / F.size("tshingles")).alias("containment")).where(F.col("containment") >= SHARE)
     each = held.groupBy("doc_id", "license", "window").agg(F.max("containment").alias("containment"))

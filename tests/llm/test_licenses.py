@@ -73,3 +73,13 @@ def test_large_template_sets_are_not_broadcast(spark, monkeypatch):
 def test_short_templates_are_refused():
     with pytest.raises(ValueError, match="fewer"):
         licenses.classes({"x": "too short"})
+
+
+@pytest.mark.parametrize("miss", [1e-4, 1e-8, 1e-15])
+def test_bands_follow_from_the_templates(monkeypatch, miss):
+    monkeypatch.setattr(licenses, "MISS", miss)
+    number = licenses.bands_of(TEMPLATES)
+    least = min(own.least_jaccard() for own in licenses.classes(TEMPLATES))
+    assert number >= licenses.BANDS and (1 - least) ** number <= miss
+    assert number == licenses.BANDS or (1 - least) ** (number - 1) > miss
+    assert licenses.bands_of({}) == licenses.BANDS
