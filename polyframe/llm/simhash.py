@@ -41,8 +41,8 @@ BLOCK = 1 << 16
 SHARD, SAMPLE, LEAST, MOST_SHARDS = 8192, 16, 4096, 1 << 16
 #: Entries compared pair by pair in a leaf; larger leaves that cannot be split are compared in blocks.
 LEAF = 256
-#: Vantage points tried at each node.
-TRIES = 8
+#: Vantage points tried at each node, and the least share of entries on a side of the shared tree's nodes.
+TRIES, LEAST_SIDE = 8, 0.02
 
 FINGERPRINTS = "doc_id long, fp long, fingerprint string"
 
@@ -76,20 +76,31 @@ def far(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
     return np.bitwise_count(points ^ vantage)
 
 
-def split(points: np.ndarray, bits: int, seed: int = 0) -> tuple[np.uint64, int] | None:
-    """The vantage point and radius that send the fewest entries down, of a few tried; None if none parts them."""
-    best, best_cost = None, 1.0
+def split(points: np.ndarray, bits: int, seed: int = 0, shared: bool = False) -> tuple[np.uint64, int] | None:
+    """The vantage point and radius that send the fewest entries down, of a few tried; None if none parts them.
+
+    In the shared tree an entry sent to both sides is sent again and again, so what counts there is
+    by how much entries multiply for each bit of information about their shard.
+    """
+    best, best_cost = None, np.inf
     sample = points if len(points) <= 2048 else points[:: len(points) // 1024]
     n = len(sample)
+    radii = np.arange(64)
     for vantage in np.random.default_rng(seed).choice(sample, min(TRIES, n), replace=False):
         upto = np.cumsum(np.bincount(far(sample, vantage), minlength=65)[:65])
-        radii = np.arange(64)
         near = upto[radii] / n
         beyond = 1 - np.where(radii - bits >= 0, upto[np.maximum(radii - bits, 0)], 0) / n
-        cost = np.maximum(near, beyond) + 0.5 * (near + beyond - 1)
-        cost[near == 0] = 2
+        total = near + beyond
+        if shared:
+            p = near / total
+            known = -(p * np.log2(np.maximum(p, 1e-9)) + (1 - p) * np.log2(np.maximum(1 - p, 1e-9)))
+            cost = np.log2(total) / np.maximum(known, 1e-9)
+            cost[(near < LEAST_SIDE) | (1 - near < LEAST_SIDE) | (np.maximum(near, beyond) > 1 - LEAST_SIDE)] = np.inf
+        else:
+            cost = np.maximum(near, beyond) + 0.5 * (total - 1)
+            cost[(near == 0) | (cost >= 0.97)] = np.inf
         radius = int(np.argmin(cost))
-        if cost[radius] < min(best_cost, 0.97):
+        if cost[radius] < best_cost:
             best, best_cost = (vantage, radius), float(cost[radius])
     return best
 
@@ -101,7 +112,7 @@ def grow(points: np.ndarray, shards: int, bits: int) -> list[tuple]:
 
     def child(own: np.ndarray, wanted: float) -> int:
         nonlocal count
-        parted = split(own, bits) if wanted > 1 and len(own) > 4 else None
+        parted = split(own, bits, shared=True) if wanted > 1 and len(own) > 4 else None
         if parted is None:
             count += 1
             return -count

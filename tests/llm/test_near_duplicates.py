@@ -121,6 +121,18 @@ def test_shared_tree_and_shards_lose_no_link(spark, monkeypatch, spread):
     assert union(len(points), [(r["u"], r["v"]) for r in edges]) == wanted
 
 
+def test_entries_multiply_slowly():
+    """Copies that the shared tree makes of random fingerprints, which no split parts well, at two sizes."""
+    rng = np.random.default_rng(0)
+    points = rng.integers(0, 1 << 64, 100_000, dtype=np.uint64)
+    times = {}
+    for shards in (32, 512):
+        tree = simhash.grow(points[: max(simhash.LEAST, simhash.SAMPLE * shards)], shards, 2)
+        times[shards] = len(simhash.route(points, tree, 2)[0]) / len(points)
+    print(f"copies of an entry: {times}")
+    assert times[32] < 4 and times[512] < 2 * times[32]  # power of 1/4 of the number of shards, at most
+
+
 # --- HNSW -------------------------------------------------------------------------------------------------------------
 
 
