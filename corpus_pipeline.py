@@ -14,6 +14,8 @@ from polyframe.llm import packing, pii, quality, simhash
 from polyframe.llm.common import Scratch, load
 
 VOCABULARY = "word_bpe_49k.json"
+#: Ids of documents to drop that are broadcast, at some 50 bytes each; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,12 +28,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates, unchanged.
 
     Of rows that repeat an id one stays; rows without an id belong to no group and all stay.
-    Texts are shuffled once, whatever the number of ids to drop, against the hashed ids of a
-    partition, which are no more than its documents.
+    Up to ``BROADCAST_IDS`` ids to drop, which are counted, go to all tasks and texts stay where
+    they are; beyond that texts are shuffled once, against the hashed ids of a partition.
     """
-    found = Scratch(spark, "dedup").keep(simhash.near_duplicates(docs).select("doc_id", "component_id"))
-    gone = found.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    scratch = Scratch(spark, "dedup")
+    found = scratch.keep(simhash.near_duplicates(docs).select("doc_id", "component_id"))
+    gone = scratch.keep(found.where("doc_id is not null and doc_id != component_id").select("doc_id").distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("shuffle_hash")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
