@@ -44,6 +44,39 @@ def test_leading_lines_are_skipped(spark, tmp_path):
     assert rows(sources.read(spark, str(file), skip=1, header=True, inferSchema=True)) == [(1, "a"), (2, "b")]
 
 
+def test_leading_lines_with_file_names(spark, tmp_path):
+    for name, junk in (("a", "note\nnote two"), ("b", "x,y,z\n")):
+        (tmp_path / f"{name}.csv").write_text(f"{junk}\nid,name,at\n1,{name}1,2024-01-02\n2,\"{name},2\",\n")
+    frame = sources.read(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], skip=2, filename="file", header=True, schema="id int, name string, at date")
+    got = sorted((r["id"], r["name"], str(r["at"]), r["file"].rsplit("/", 1)[-1]) for r in frame.collect())
+    assert got == [(1, "a1", "2024-01-02", "a.csv"), (1, "b1", "2024-01-02", "b.csv"), (2, "a,2", "None", "a.csv"), (2, "b,2", "None", "b.csv")]
+
+
+def test_short_and_broken_rows(spark, tmp_path):
+    file = tmp_path / "x.csv"
+    file.write_text("id,price,name\n1,2.5,a\n2\nx,1,b\n3,4,c\n")
+    read = lambda **how: rows(sources.read(spark, str(file), header=True, schema="id int, price double, name string", **how))
+    assert read(null_padding=True) == [(None, 1.0, "b"), (1, 2.5, "a"), (2, None, None), (3, 4.0, "c")] or read(null_padding=True) == [(1, 2.5, "a"), (2, None, None), (3, 4.0, "c"), (None, 1.0, "b")]
+    assert read(null_padding=True, ignore_errors=True) == [(1, 2.5, "a"), (2, None, None), (3, 4.0, "c")]
+    assert read(ignore_errors=True) == [(1, 2.5, "a"), (3, 4.0, "c")]
+    named = sources.read(spark, str(file), header=True, inferSchema=True, null_padding=True, filename="file")
+    assert named.columns == ["id", "price", "name", "file"] and named.count() == 4
+
+
+def test_skipped_lines_split_files(spark, tmp_path):
+    """A file of several splits loses its own leading lines only."""
+    file = tmp_path / "long.csv"
+    file.write_text("junk\n" + "".join(f"{k},{'x' * 50}\n" for k in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        frame = sources.read(spark, str(file), skip=1, schema="k int, x string")
+        assert frame.rdd.getNumPartitions() > 3
+        assert sorted(r["k"] for r in frame.collect()) == list(range(5000))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_unknown_ending(spark):
     with pytest.raises(ValueError, match="ending"):
         sources.read(spark, "/x/y.bin")
