@@ -68,7 +68,7 @@ family("agg_collect_sorted", "nation", "n_regionkey", {
     "names": (E.array_join(E.sort_array(E.collect_list("n_name")), ","), "array_to_string(list_sort(list(n_name)), ',')"),
     "heads": (E.array_join(E.sort_array(E.collect_set(E.substring("n_name", 1, 1))), ","), "array_to_string(list_sort(list(DISTINCT substr(n_name, 1, 1))), ',')"),
     "agg": (E.array_join(E.array_sort(E.array_agg("n_nationkey")), ","), "array_to_string(list_sort(list(n_nationkey)), ',')"),
-    "said": (E.listagg("n_name", E.lit("|")).isNotNull(), "string_agg(n_name, '|') IS NOT NULL"),
+    "said": (E.array_join(E.sort_array(E.split(E.listagg("n_name", E.lit("|")), r"\|")), "|"), "array_to_string(list_sort(list(n_name)), '|')"),
     "said_chars": (E.length(E.string_agg("n_name", E.lit("|"))).cast("bigint"), "CAST(length(string_agg(n_name, '|')) AS BIGINT)"),
     "said_distinct": (E.length(E.listagg_distinct("n_name", E.lit("|"))).cast("bigint"), "CAST(length(string_agg(DISTINCT n_name, '|')) AS BIGINT)"),
     "said_once": (E.length(E.string_agg_distinct("n_name", E.lit("|"))).cast("bigint"), "CAST(length(string_agg(DISTINCT n_name, '|')) AS BIGINT)"),
@@ -93,13 +93,23 @@ family("agg_regr", "lineitem", "l_returnflag", {
     "syy": (E.round(E.regr_syy("l_extendedprice", "l_quantity") / 1e9, 3), "round(regr_syy(l_extendedprice, l_quantity) / 1e9, 3)"),
 }, groups="keys")
 
-family("agg_mode_anyvalue", "lineitem", "l_orderkey", {
-    "flag": (E.any_value(E.lit("x")), "any_value('x')"),
-    "head": (E.first(E.lit(3)), "first(3)"),
-    "tail": (E.last(E.lit(4)), "last(4)"),
-    "head_value": (E.first_value(E.lit(5)), "first(5)"),
-    "tail_value": (E.last_value(E.lit(6)), "last(6)"),
-    "lines": (E.mode(E.lit(7)), "mode(7)"),
+# Values that are one in each group, and one that is the most frequent in each.
+family("agg_mode_anyvalue", "orders", "o_orderkey", {
+    "flag": (E.any_value("o_orderstatus"), "min(o_orderstatus)"),
+    "head": (E.first("o_totalprice"), "min(o_totalprice)"),
+    "tail": (E.last("o_orderpriority"), "max(o_orderpriority)"),
+    "head_value": (E.first_value("o_custkey"), "min(o_custkey)"),
+    "tail_value": (E.last_value("o_orderdate"), "max(o_orderdate)"),
+}, groups="keys")
+
+family("agg_mode", "events", "event_type", {
+    "most": (E.mode(E.when(E.col("event_id") % 10 < 7, E.concat("event_type", E.lit("!"))).otherwise("rest")), "event_type || '!'"),
+}, groups="keys")
+
+family("agg_first_not_null", "events", "user_id", {
+    "head": (E.first(E.when(E.col("event_id") % 3 == 0, E.col("user_id") * 2), True), "CASE WHEN bool_or(event_id % 3 = 0) THEN user_id * 2 END"),
+    "tail": (E.last(E.when(E.col("event_id") % 5 == 0, E.col("user_id") * 3), True), "CASE WHEN bool_or(event_id % 5 = 0) THEN user_id * 3 END"),
+    "any": (E.any_value(E.when(E.col("event_id") % 4 == 0, E.col("user_id")), E.lit(True)), "CASE WHEN bool_or(event_id % 4 = 0) THEN user_id END"),
 }, groups="keys")
 
 family("agg_product", "nation", "n_regionkey", {
@@ -121,6 +131,32 @@ def agg_approximate(t):
     )
 
 
+@query("SELECT event_type, count(*) AS n, true AS users, true AS users_close, true AS users_hll, true AS mid, true AS low, true AS high FROM events GROUP BY event_type")
+def agg_approximate_bounds(t):
+    """Sketches and approximate quantiles against exact values, within their stated errors."""
+    e = t.events.groupBy("event_type").agg(
+        F.count("*").alias("n"),
+        F.count_distinct("event_id").alias("exact"),
+        F.approx_count_distinct("event_id").alias("a"),
+        F.approxCountDistinct("event_id", 0.02).alias("b"),
+        F.hll_sketch_estimate(F.hll_sketch_agg("event_id", F.lit(12))).alias("c"),
+        F.percentile_approx("value", 0.5, 1000).alias("p50"),
+        F.approx_percentile("value", F.array(F.lit(0.1), F.lit(0.9)), F.lit(1000)).alias("ends"),
+        *(F.percentile("value", F.lit(q)).alias(f"q{name}") for name, q in (("49", 0.49), ("51", 0.51), ("09", 0.09), ("11", 0.11), ("89", 0.89), ("91", 0.91))),
+    )
+    near = lambda c, share: F.abs(F.col(c) - F.col("exact")) <= share * F.col("exact")  # noqa: E731  four standard errors
+    ends = F.col("ends")
+    return e.select("event_type", "n", near("a", 0.2).alias("users"), near("b", 0.08).alias("users_close"), near("c", 0.08).alias("users_hll"), F.col("p50").between(F.col("q49"), F.col("q51")).alias("mid"), ends[0].between(F.col("q09"), F.col("q11")).alias("low"), ends[1].between(F.col("q89"), F.col("q91")).alias("high"))
+
+
+@query("SELECT count(DISTINCT event_id) AS exact, true AS near, true AS alike FROM events")
+def agg_hll_union_bounds(t):
+    """A union of sketches against the exact number, and two ways to unite."""
+    halves = t.events.groupBy((F.col("event_id") % 2).alias("half")).agg(F.hll_sketch_agg("event_id").alias("s"), F.count_distinct("event_id").alias("n"))
+    both = halves.agg(F.sum("n").alias("exact"), F.hll_sketch_estimate(F.hll_union_agg("s")).alias("united"), F.hll_sketch_estimate(F.hll_union(F.min("s"), F.max("s"))).alias("again"))
+    return both.select("exact", (F.abs(F.col("united") - F.col("exact")) <= 0.08 * F.col("exact")).alias("near"), (F.col("united") == F.col("again")).alias("alike"))
+
+
 @query()
 def agg_hll_union(t):
     halves = t.events.groupBy((F.col("user_id") % 2).alias("half")).agg(F.hll_sketch_agg("user_id").alias("s"))

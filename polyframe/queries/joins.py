@@ -97,3 +97,14 @@ def join_as_of(t):
     clicks = t.events.where("event_type = 'click'").select("event_id", "user_id", "ts")
     buys = t.events.where("event_type = 'purchase'").select("user_id", "ts", "value")
     return joins.as_of_join(clicks, buys, "ts", ["user_id"], ["value"]).select("event_id", "value_asof")
+
+
+@query("SELECT n_nationkey, n_name, r_name FROM nation NATURAL JOIN (SELECT r_regionkey AS n_regionkey, r_name FROM region)")
+def join_natural(t):
+    return t.views("nation", "region").sql("SELECT n_nationkey, n_name, r_name FROM nation NATURAL JOIN (SELECT r_regionkey AS n_regionkey, r_name FROM region)")
+
+
+@query("SELECT r_name, n_name, n FROM region, LATERAL (SELECT max(n_name) AS n_name, count(*) AS n FROM nation WHERE n_regionkey = r_regionkey) x")
+def join_lateral(t):
+    """A subquery that sees the row beside it; Catalyst makes a join of it."""
+    return t.views("nation", "region").sql("SELECT r_name, n_name, n FROM region, LATERAL (SELECT max(n_name) AS n_name, count(*) AS n FROM nation WHERE n_regionkey = r_regionkey)")

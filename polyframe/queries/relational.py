@@ -1,5 +1,7 @@
 """Scans, projections, filters, sorting, sets, missing values."""
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -262,3 +264,15 @@ def flagship(t):
     best = Window.partitionBy("n_name").orderBy(F.desc("revenue"), "p_brand")
     ranked = sold.withColumn("place", F.row_number().over(best).cast("bigint")).where("place <= 3")
     return ranked.select("n_name", "p_brand", F.round("revenue", 2).alias("revenue"), "place").orderBy(F.desc("revenue"), "n_name").limit(50)
+
+
+@query("SELECT n_nationkey AS k FROM nation UNION ALL SELECT r_regionkey FROM region")
+def union_all(t):
+    return t.nation.select(F.col("n_nationkey").alias("k")).unionAll(t.region.select("r_regionkey"))
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def global_temp_view(t):
+    name = f"region_{uuid.uuid4().hex[:8]}"
+    t.region.createGlobalTempView(name)
+    return t.spark.table(f"global_temp.{name}").select("r_regionkey", "r_name")

@@ -114,3 +114,23 @@ def test_partition_transforms():
     for name in ("years", "months", "days", "hours"):
         assert name in str(getattr(F.partitioning, name)("ts"))
     assert "bucket" in str(F.partitioning.bucket(4, "id"))
+
+
+def test_external_table_and_registered_function(spark, tmp_path):
+    path = str(tmp_path / "outside")
+    spark.range(3).write.parquet(path)
+    with pytest.warns(FutureWarning):
+        spark.catalog.createExternalTable("outside", path=path, source="parquet")
+        spark.catalog.registerFunction("half_of", lambda x: x // 2, "bigint")
+    assert spark.sql("SELECT half_of(id) AS h FROM outside ORDER BY id").collect()[2]["h"] == 1
+    spark.sql("DROP TABLE outside")
+    assert spark.read.parquet(path).count() == 3  # dropping leaves the files
+
+
+def test_java_functions_must_exist(spark):
+    from pyspark.errors import AnalysisException
+
+    with pytest.raises(AnalysisException):
+        spark.udf.registerJavaFunction("nothing", "org.example.Nothing", "int")
+    with pytest.raises(AnalysisException):
+        spark.udf.registerJavaUDAF("nothing", "org.example.Nothing")
