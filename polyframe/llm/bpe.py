@@ -33,10 +33,9 @@ from tokenizers.pre_tokenizers import Split
 
 #: Characters of text handled at once. Blocks end before white space, which no token crosses.
 BLOCK_CHARS = 1 << 20
-#: Keys kept by one cache of a Python worker, which starts anew when it is full, and the longest key
-#: kept. A key of 64 characters has at most 192 bytes, so what it maps to is bounded too; longer ones
-#: (unspaced scripts, encoded data) hardly recur and are worked out each time.
-CACHE_WORDS, CACHE_CHARS = 250_000, 64
+#: Keys that one cache of a Python worker keeps and their characters in all; it starts anew when either is
+#: full. Longer keys than CACHE_CHARS (unspaced scripts, encoded data) hardly recur and are not kept.
+CACHE_WORDS, CACHE_TOTAL, CACHE_CHARS = 1_000_000, 1 << 24, 64
 
 
 def byte_symbols() -> list[str]:
@@ -47,18 +46,23 @@ def byte_symbols() -> list[str]:
 
 
 class Cache(dict):
-    """What ``make`` gives for a key, kept for keys of up to ``longest`` characters; it starts anew when it holds ``most``."""
+    """What ``make`` gives for a key, kept for keys of up to ``longest`` characters.
 
-    def __init__(self, make: Callable, most: int = CACHE_WORDS, longest: int = CACHE_CHARS):
+    It starts anew when it holds ``most`` keys, or keys of ``total`` characters in all.
+    """
+
+    def __init__(self, make: Callable, most: int = CACHE_WORDS, longest: int = CACHE_CHARS, total: int = CACHE_TOTAL):
         super().__init__()
-        self.make, self.most, self.longest = make, most, longest
+        self.make, self.most, self.longest, self.total, self.held = make, most, longest, total, 0
 
     def __missing__(self, key: str):
         out = self.make(key)
         if len(key) <= self.longest:
-            if len(self) >= self.most:
+            if len(self) >= self.most or self.held > self.total:
                 self.clear()
+                self.held = 0
             self[key] = out
+            self.held += len(key)
         return out
 
 

@@ -68,6 +68,10 @@ def test_caches_start_anew_when_full(library):
     cache = bpe.Cache(len, most=2, longest=3)
     assert [cache[x] for x in ("a", "bb", "ccc", "a", "dddd")] == [1, 2, 3, 1, 4]
     assert len(cache) <= 2 and "dddd" not in cache
+    cache = bpe.Cache(len, total=10)
+    for k in range(100):
+        cache["x" * (1 + k % 9)]
+        assert sum(map(len, cache)) <= 10 + 9
 
 
 def test_long_pieces_are_not_kept(library):
