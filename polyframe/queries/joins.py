@@ -96,7 +96,7 @@ def join_range(t):
 def join_as_of(t):
     clicks = t.events.where("event_type = 'click'").select("event_id", "user_id", "ts")
     buys = t.events.where("event_type = 'purchase'").select("user_id", "ts", "value")
-    return joins.as_of_join(clicks, buys, "ts", ["user_id"], ["value"]).select("event_id", "value_asof")
+    return joins.as_of_join(clicks, buys, "ts", ["user_id"], ["value"], width=86400.0).select("event_id", "value_asof")
 
 
 @query("SELECT n_nationkey, n_name, r_name FROM nation NATURAL JOIN (SELECT r_regionkey AS n_regionkey, r_name FROM region)")

@@ -1,6 +1,7 @@
 """Frame behaviour: joins, duplicates, actions, plans, streams."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +43,65 @@ def test_range_join_is_half_open(spark):
     assert rows(joins.range_join(points, spans, "p", "low", "high", 4.0).select("id", "n")) == [(1, "a"), (1, "b"), (2, "b"), (3, "b")]
 
 
+def test_as_of_join_in_slices_equals_brute_force(spark):
+    rng = random.Random(5)
+    key = lambda: rng.choice(["hot"] * 6 + ["a", "b", None])
+    time = lambda: rng.choice([None, *range(-40, 400)])
+    asks = [(n, key(), time(), {"m": "x"}) for n in range(300)]
+    seen = [(key(), time(), rng.choice([None, 1, 2, 3])) for _ in range(120)]
+    left = spark.createDataFrame(asks, "id int, k string, t int, extra map<string,string>")
+    right = spark.createDataFrame(seen, "k string, t int, v int")
+    want = []
+    for n, k, t, _ in asks:
+        fit = [(u, (v is not None, v or 0), v) for j, u, v in seen if k is not None and t is not None and j == k and u is not None and u <= t]
+        want.append((n, max(fit)[2] if fit else None))
+    for width in (None, 7.0, 1000.0):
+        assert rows(joins.as_of_join(left, right, "t", ["k"], ["v"], width=width).select("id", "v_asof")) == sorted(want, key=str), width
+    alone = joins.as_of_join(left, right.limit(0), "t", [], ["v"], width=50.0)
+    assert alone.count() == 300 and alone.where("v_asof is not null").isEmpty()
+
+
+def test_as_of_join_of_times_in_any_zone(spark):
+    at = lambda h, m=0: datetime.datetime(2024, 3, 10, h, m)
+    left = spark.createDataFrame([(1, at(2, 30)), (2, at(3, 0)), (3, at(0, 5))], "id int, t timestamp_ntz")
+    right = spark.createDataFrame([(at(2, 45), "x"), (at(1, 59), "y")], "t timestamp_ntz, v string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert rows(joins.as_of_join(left, right, "t", [], ["v"], width=600.0).select("id", "v_asof")) == [(1, "y"), (2, "x"), (3, None)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_range_join_of_intervals_of_all_lengths(spark):
+    rng = random.Random(6)
+    inf = float("inf")
+    points = [(n, rng.choice("ab"), rng.choice([None, inf, rng.uniform(-1e6, 1e6), rng.uniform(-5, 5)])) for n in range(150)]
+    spans = []
+    for n in range(120):
+        low = rng.choice([None, -inf, rng.uniform(-1e6, 1e6), rng.uniform(-5, 5)])
+        spans.append((n, rng.choice(["a", "b", None]), low, rng.choice([None, inf, (low or 0.0) + 10 ** rng.uniform(-3, 7)])))
+    left = spark.createDataFrame(points, "id int, k string, p double")
+    right = spark.createDataFrame(spans, "n int, k string, low double, high double")
+    fits = lambda p, low, high: None not in (p, low, high) and low <= p < high
+    want = sorted(((i, n) for i, k, p in points for n, j, low, high in spans if j == k and fits(p, low, high)), key=str)
+    assert want and rows(joins.range_join(left, right, "p", "low", "high", 1.0, ["k"]).select("id", "n")) == want
+    want = sorted(((i, n) for i, k, p in points for n, j, low, high in spans if fits(p, low, high)), key=str)
+    assert rows(joins.range_join(left.drop("k"), right, "p", "low", "high", 0.01).select("id", "n")) == want
+    assert joins.range_join(left, right.limit(0), "p", "low", "high", 1.0, ["k"]).count() == 0
+
+
+def test_range_join_repeats_no_interval_for_its_length(spark, monkeypatch):
+    seen, explode = [], F.explode
+    days = spark.sql("SELECT explode(sequence(DATE'2000-01-01', DATE'2000-12-31')) AS d")
+    spans = spark.sql("SELECT DATE'0001-01-01' AS low, DATE'9999-12-31' AS high, 1 AS n UNION ALL SELECT DATE'2000-02-01', DATE'2000-02-03', 2")
+    joined = joins.range_join(days, spans, "d", "low", "high", 1.0)
+    assert joined.groupBy("n").count().orderBy("n").collect() == [(1, 366), (2, 2)]
+    monkeypatch.setattr(joins.F, "explode", lambda c: seen.append(c) or explode(c))
+    joins.range_join(days, spans, "d", "low", "high", 1.0)
+    assert max(r[0] for r in spans.select(F.size(seen[0])).collect()) <= 2
+
+
 def test_first_of_each_is_deterministic(spark):
     frame = spark.createDataFrame([("a", 1, "y"), ("a", 1, "x"), ("b", 2, "z")], "k string, rank int, v string")
     assert rows(first_of_each(frame, ["k"], ["rank"])) == [("a", 1, "x"), ("b", 2, "z")]
