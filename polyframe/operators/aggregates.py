@@ -1,4 +1,4 @@
-"""Aggregation helpers: grouping sets, pivots with checked values, unpivots, statistics."""
+"""Aggregation helpers: grouping sets, pivots with checked values, statistics."""
 
 from __future__ import annotations
 
@@ -27,11 +27,6 @@ def pivot(frame: DataFrame, keys: Sequence[str], column: str, aggregates: Sequen
     return frame.groupBy(*keys).pivot(column, list(values)).agg(*aggregates)
 
 
-def unpivot(frame: DataFrame, ids: Sequence[str], values: Sequence[str] | None, variable: str, value: str) -> DataFrame:
-    """Wide to long in one pass; ``values`` None takes all other columns."""
-    return frame.unpivot(list(ids), list(values) if values is not None else None, variable, value)
-
-
 def quantiles(frame: DataFrame, columns: str | Sequence[str], probabilities: Sequence[float], error: float = 0.0) -> list:
     """Approximate quantiles: a flat list for one column, a list of lists for several."""
     return frame.approxQuantile(columns if isinstance(columns, str) else list(columns), list(probabilities), error)

@@ -115,8 +115,3 @@ def as_of_join(left: DataFrame, right: DataFrame, time: str, on: Sequence[str],
     found = filled.select("__left.*", *(F.col(f"__last.{v}").alias(f"{v}{suffix}") for v in values))
     missing = left.where(" or ".join(f"`{c}` is null" for c in needed))
     return found.unionByName(missing.select("*", *(F.lit(None).cast(right.schema[v].dataType).alias(f"{v}{suffix}") for v in values)))
-
-
-def theta_join(left: DataFrame, right: DataFrame, condition: Column, how: str = "inner") -> DataFrame:
-    """A join on any condition; without an equality in it Spark compares all pairs."""
-    return left.join(right, condition, how)

@@ -1,8 +1,8 @@
-"""Row-level operators: deterministic deduplication, top rows of groups, missing values, replacement."""
+"""Row-level operators: deterministic deduplication, top rows of groups."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,19 +22,3 @@ def first_of_each(frame: DataFrame, keys: Sequence[str], order: Sequence[str | C
     rest = [F.col(f.name) for f in frame.schema if f.name not in keys and f.dataType.typeName() not in ("map", "variant")]
     window = Window.partitionBy(*keys).orderBy(*order, *rest)
     return frame.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n).drop(rank)
-
-
-def drop_missing(frame: DataFrame, how: str = "any", thresh: int | None = None, subset: Sequence[str] | None = None) -> DataFrame:
-    """``dropna``; NaN counts as missing, ``thresh`` overrides ``how``."""
-    return frame.dropna(how, thresh, list(subset) if subset else None)
-
-
-def fill_missing(frame: DataFrame, value: object, subset: Sequence[str] | None = None) -> DataFrame:
-    """``fillna``; columns of another type than the value are left alone."""
-    return frame.fillna(value, list(subset) if subset and not isinstance(value, Mapping) else None)
-
-
-def replace_values(frame: DataFrame, to_replace: object, value: object = None, subset: Sequence[str] | None = None) -> DataFrame:
-    """``replace`` for a scalar, a pair of lists or a mapping."""
-    names = list(subset) if subset else None
-    return frame.replace(to_replace, subset=names) if isinstance(to_replace, Mapping) else frame.replace(to_replace, value, names)

@@ -248,13 +248,13 @@ def pivot_found_values(t):
 @query("SELECT p_partkey, what, amount FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price FROM part) UNPIVOT INCLUDE NULLS (amount FOR what IN (size, price))")
 def unpivot(t):
     frame = t.part.select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
-    return A.unpivot(frame, ["p_partkey"], ["size", "price"], "what", "amount")
+    return frame.unpivot(["p_partkey"], ["size", "price"], "what", "amount")
 
 
 @query("SELECT p_partkey, what, amount FROM (SELECT p_partkey, CAST(p_size AS DOUBLE) AS size, p_retailprice AS price FROM part) UNPIVOT INCLUDE NULLS (amount FOR what IN (size, price))")
 def unpivot_all(t):
     frame = t.part.select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
-    return A.unpivot(frame, ["p_partkey"], None, "what", "amount")
+    return frame.unpivot(["p_partkey"], None, "what", "amount")
 
 
 @query("SELECT round(corr(o_totalprice, o_custkey), 8) AS r, round(covar_samp(o_totalprice, o_custkey), 2) AS c FROM orders")

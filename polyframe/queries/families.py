@@ -33,9 +33,15 @@ def sql_udf(t):
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders")
 def cache_persist(t):
-    frame = t.orders.select("o_orderkey", "o_orderstatus").persist()
-    frame.unpersist()
-    return frame.cache()
+    """A cached table is read while another is written, then released: nothing stays in memory after the query."""
+    path = temporary(t.spark, "cached")
+    frame = t.orders.select("o_orderkey", "o_orderstatus").cache()
+    try:
+        assert frame.is_cached
+        frame.write.parquet(path)
+    finally:
+        frame.unpersist()
+    return t.spark.read.parquet(path)
 
 
 @query("SELECT o_orderkey FROM orders")

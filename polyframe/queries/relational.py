@@ -210,12 +210,12 @@ def gaps(t):
 
 @query(f"SELECT * FROM ({GAPS}) WHERE kind IS NOT NULL AND low IS NOT NULL AND third IS NOT NULL")
 def dropna_any(t):
-    return rows.drop_missing(gaps(t))
+    return gaps(t).dropna()
 
 
 @query(f"SELECT * FROM ({GAPS}) WHERE kind IS NOT NULL OR low IS NOT NULL OR third IS NOT NULL")
 def dropna_all(t):
-    return rows.drop_missing(gaps(t), "all", subset=["kind", "low", "third"])
+    return gaps(t).dropna("all", subset=["kind", "low", "third"])
 
 
 @query(f"SELECT * FROM ({GAPS}) WHERE (kind IS NOT NULL)::INT + (low IS NOT NULL)::INT + (third IS NOT NULL)::INT >= 2")
@@ -225,7 +225,7 @@ def dropna_thresh(t):
 
 @query(f"SELECT event_id, coalesce(kind, 'none') AS kind, coalesce(low, -1) AS low, coalesce(third, 0) AS third FROM ({GAPS})")
 def fillna(t):
-    return rows.fill_missing(gaps(t), {"kind": "none", "low": -1.0, "third": 0})
+    return gaps(t).fillna({"kind": "none", "low": -1.0, "third": 0})
 
 
 @query(f"SELECT event_id, kind, coalesce(low, 7) AS low, coalesce(third, 7) AS third FROM ({GAPS})")
@@ -235,7 +235,7 @@ def fillna_scalar(t):
 
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def replace_map(t):
-    return rows.replace_values(t.orders.select("o_orderkey", "o_orderstatus"), {"F": "finished", "O": "open"})
+    return t.orders.select("o_orderkey", "o_orderstatus").replace({"F": "finished", "O": "open"})
 
 
 @query("SELECT n_nationkey, CASE n_regionkey WHEN 1 THEN 10 WHEN 2 THEN 20 ELSE n_regionkey END AS n_regionkey FROM nation")

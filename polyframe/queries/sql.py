@@ -81,6 +81,38 @@ TEXTS = {
         "SELECT p_brand, count(*) AS n FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50) AND (p_size < 10 OR p_type LIKE '%A%') GROUP BY p_brand",
     ),
     "sql_order_by_aggregate": (("nation",), "SELECT n_regionkey, count(*) AS n, min(n_name) AS first, CAST(max(length(n_name)) - min(length(n_name)) AS BIGINT) AS spread FROM nation GROUP BY n_regionkey ORDER BY n DESC, n_regionkey"),
+    "sql_year_over_year": (
+        ("customer", "orders"),
+        "WITH y AS (SELECT c_custkey AS k, year(o_orderdate) AS y, sum(o_totalprice) AS total FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, year(o_orderdate)) SELECT a.k, CAST(a.y AS BIGINT) AS y, round(b.total / a.total, 6) AS growth FROM y a JOIN y b ON a.k = b.k AND b.y = a.y + 1 WHERE b.total > a.total",
+    ),
+    "sql_channels_year_over_year": (
+        ("customer", "orders", "lineitem"),
+        "WITH y AS (SELECT 'order' AS channel, o_custkey AS k, year(o_orderdate) AS y, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey, year(o_orderdate) UNION ALL SELECT 'line' AS channel, o_custkey AS k, year(l_shipdate) AS y, sum(l_extendedprice) AS total FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey, year(l_shipdate)) SELECT o1.k, c_name, CAST(o1.y AS BIGINT) AS y FROM y o1 JOIN y o2 ON o1.k = o2.k AND o2.y = o1.y + 1 JOIN y l1 ON l1.k = o1.k AND l1.y = o1.y JOIN y l2 ON l2.k = o1.k AND l2.y = o1.y + 1 JOIN customer ON c_custkey = o1.k WHERE o1.channel = 'order' AND o2.channel = 'order' AND l1.channel = 'line' AND l2.channel = 'line' AND l2.total / l1.total > o2.total / o1.total",
+    ),
+    "sql_channels_rollup": (
+        ("orders", "lineitem", "supplier", "customer"),
+        "WITH gains AS (SELECT s_nationkey AS k, sum(l_extendedprice) AS sales, CAST(0 AS DOUBLE) AS back FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag <> 'R' GROUP BY s_nationkey UNION ALL SELECT s_nationkey AS k, CAST(0 AS DOUBLE) AS sales, sum(l_extendedprice) AS back FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R' GROUP BY s_nationkey), x AS (SELECT 'supplier' AS channel, k, sum(sales) AS sales, sum(back) AS back FROM gains GROUP BY k UNION ALL SELECT 'customer' AS channel, c_nationkey AS k, sum(o_totalprice) AS sales, sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice ELSE 0 END) AS back FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey) SELECT channel, k, round(sum(sales), 2) AS sales, round(sum(back), 2) AS back FROM x GROUP BY ROLLUP(channel, k)",
+    ),
+    "sql_share_of_class": (
+        ("lineitem", "part"),
+        "SELECT p_brand, p_type, round(revenue, 2) AS revenue, round(revenue * 100 / sum(revenue) OVER (PARTITION BY p_type), 8) AS share FROM (SELECT p_brand, p_type, sum(l_extendedprice) AS revenue FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate >= DATE '1998-01-01' AND l_shipdate < DATE '1998-07-01' GROUP BY p_brand, p_type) x",
+    ),
+    "sql_returned_above_mean": (
+        ("lineitem", "orders", "customer"),
+        "WITH back AS (SELECT o_custkey AS k, l_suppkey AS s, sum(l_extendedprice) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY o_custkey, l_suppkey) SELECT c_name, a.s FROM back a JOIN customer ON c_custkey = a.k WHERE a.total > (SELECT avg(b.total) * 1.2 FROM back b WHERE a.s = b.s) AND c_acctbal > 0",
+    ),
+    "sql_days_to_ship": (
+        ("lineitem", "orders"),
+        "SELECT o_orderpriority, CAST(sum(CASE WHEN s <= d + 30 THEN 1 ELSE 0 END) AS BIGINT) AS d30, CAST(sum(CASE WHEN s > d + 30 AND s <= d + 60 THEN 1 ELSE 0 END) AS BIGINT) AS d60, CAST(sum(CASE WHEN s > d + 60 THEN 1 ELSE 0 END) AS BIGINT) AS more, CAST(sum(CASE WHEN s < d THEN 1 ELSE 0 END) AS BIGINT) AS early FROM (SELECT o_orderpriority, CAST(l_shipdate AS DATE) AS s, CAST(o_orderdate AS DATE) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x GROUP BY o_orderpriority",
+    ),
+    "sql_or_of_exists": (
+        ("customer", "orders", "nation"),
+        "SELECT n_name, c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS mean, max(c_acctbal) AS most FROM customer c JOIN nation ON c_nationkey = n_nationkey WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey AND o_orderstatus = 'O') AND (EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey AND o_totalprice > 450000) OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c.c_custkey AND o_orderpriority = '1-URGENT')) GROUP BY n_name, c_mktsegment",
+    ),
+    "sql_above_half_of_month": (
+        ("orders",),
+        "SELECT p, m, round(total, 2) AS total, round(mean, 4) AS mean FROM (SELECT o_orderpriority AS p, CAST(month(o_orderdate) AS BIGINT) AS m, sum(o_totalprice) AS total, avg(sum(o_totalprice)) OVER (PARTITION BY o_orderpriority) AS mean FROM orders GROUP BY o_orderpriority, month(o_orderdate)) x WHERE abs(total - mean) / mean > 0.05",
+    ),
     "tpch_q1": (
         ("lineitem",),
         "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 4) AS avg_qty, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus",
