@@ -1,4 +1,4 @@
-"""UPDATE, DELETE and MERGE as rewrites of whole tables, for sources without row-level operations.
+"""UPDATE, DELETE and MERGE as rewrites of tables or partitions, for sources without row-level operations.
 
 The rewrites are DataFrames; ``Table`` wraps them as lazy statements that replace a catalog table
 through a staging table, so that no failed write loses rows.
@@ -10,10 +10,16 @@ import uuid
 import warnings
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: Most partitions that an update or delete rewrites one by one; their keys go through the driver.
+PARTITIONS = 1000
+OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
+
 Condition = str | Column | bool | Sequence[str | Column] | None
 Values = Mapping[str | Column, object]
 
@@ -177,15 +183,17 @@ def merged(target: DataFrame, source: DataFrame, condition: Condition, clauses:
 
 
 class ReplaceFailed(RuntimeError):
-    """A table could not be overwritten; ``staging`` names the table that holds all its new rows."""
+    """A table could not be overwritten; ``staging`` names the table that holds all rows to be written."""
 
     def __init__(self, name: str, staging: str):
-        super().__init__(f"overwriting {name} failed, its state is unknown; all its new rows stand in {staging}: insert them from there, then drop it")
+        super().__init__(f"overwriting {name} failed, its state is unknown; all rows to be written stand in {staging}: insert them from there, then drop it")
         self.name, self.staging = name, staging
 
 
-def replace_table(spark: SparkSession, name: str, frame: DataFrame) -> int:
-    """Replaces a catalog table's rows; returns their number, counted by the write itself.
+def replace_table(spark: SparkSession, name: str, frame: DataFrame, mode: str = "static") -> int:
+    """Replaces a catalog table's rows; returns the number written, counted by the write itself.
+
+    In ``dynamic`` mode only the partitions that the new rows are in are replaced.
 
     The new rows are written to a staging table first: if that fails, the table is as it was and
     nothing is left behind. The staging table is dropped only after the table has been overwritten;
@@ -198,28 +206,57 @@ def replace_table(spark: SparkSession, name: str, frame: DataFrame) -> int:
     except BaseException:
         spark.sql(f"DROP TABLE IF EXISTS {staging}")
         raise
+    before = spark.conf.get(OVERWRITE_MODE)
     try:
+        spark.conf.set(OVERWRITE_MODE, mode)
         spark.table(staging).write.insertInto(name, overwrite=True)
     except BaseException as error:
         raise ReplaceFailed(name, staging) from error
+    finally:
+        spark.conf.set(OVERWRITE_MODE, before)
     spark.sql(f"DROP TABLE IF EXISTS {staging}")
     spark.catalog.refreshTable(name)
     return counted.get["rows"]
 
 
+def touched(table: DataFrame, parts: Sequence[str], where: Condition, deletes: bool) -> Column | None:
+    """The condition that selects the partitions with a row for which ``where`` holds.
+
+    None if they cannot be rewritten one by one: there are more than ``PARTITIONS``, a key is null,
+    or a delete would empty one, which then has no new rows to replace it.
+    """
+    counts = table.groupBy(*parts).agg(F.count(F.lit(1)).alias("__rows"), F.count_if(holds(where)).alias("__held"))
+    found = counts.where("__held > 0").limit(PARTITIONS + 1).collect()
+    if len(found) > PARTITIONS or any((deletes and r["__rows"] == r["__held"]) or None in [r[p] for p in parts] for r in found):
+        return None
+    out = F.lit(False)
+    for row in found:
+        out = out | reduce(and_, (F.col(p) == F.lit(row[p]).cast(table.schema[p].dataType) for p in parts))
+    return out
+
+
 @dataclass(frozen=True)
 class Statement:
-    """A statement that is not yet executed: ``frame`` is the table after it."""
+    """A statement that is not yet executed: ``frame`` is the table after it.
+
+    ``prune`` gives the rows to write where some partitions will do, or None.
+    """
 
     spark: SparkSession
     name: str
     frame: DataFrame
     check: Callable[[], None] = lambda: None
+    prune: Callable[[], DataFrame | None] = lambda: None
 
     def execute(self) -> int:
         """Runs it; returns the number of rows of the table afterwards."""
         self.check()
-        return replace_table(self.spark, self.name, self.frame)
+        some = self.prune()
+        if some is None:
+            return replace_table(self.spark, self.name, self.frame)
+        if not some.isEmpty():
+            replace_table(self.spark, self.name, some, "dynamic")
+        return self.spark.table(self.name).count()
 
 
 class Table:
@@ -240,11 +277,22 @@ class Table:
         out.spark, out.name, out.frame = self.spark, self.name, self.frame.alias(name)
         return out
 
+    def _pruned(self, where: Condition, kept: Sequence[str], deletes: bool, rewritten: Callable[[DataFrame], DataFrame]) -> Callable[[], DataFrame | None]:
+        def prune() -> DataFrame | None:
+            parts = [c.name for c in self.spark.catalog.listColumns(self.name) if c.isPartition]
+            if not parts or where is None or not set(parts) <= set(kept):
+                return None
+            some = touched(self.frame, parts, where, deletes)
+            return None if some is None else rewritten(self.frame.where(some))
+
+        return prune
+
     def update(self, set_: Values, where: Condition = None) -> Statement:
-        return Statement(self.spark, self.name, updated(self.frame, set_, where))
+        kept = [c for c in self.frame.columns if c not in _named(self.frame, set_)]
+        return Statement(self.spark, self.name, updated(self.frame, set_, where), prune=self._pruned(where, kept, False, lambda f: updated(f, set_, where)))
 
     def delete(self, where: Condition = None) -> Statement:
-        return Statement(self.spark, self.name, deleted(self.frame, where))
+        return Statement(self.spark, self.name, deleted(self.frame, where), prune=self._pruned(where, self.frame.columns, True, lambda f: deleted(f, where)))
 
     def merge(self, source: DataFrame, condition: Condition, clauses: Sequence[Clause]) -> Statement:
         def check() -> None:

@@ -50,6 +50,56 @@ def test_delete_keeps_rows_of_null_conditions(spark):
     assert rows(deleted(frame, "b > 1")) == [(1, None)]
 
 
+@pytest.fixture
+def parted(spark):
+    name = f"parted_{uuid.uuid4().hex[:8]}"
+    rows_ = [(n, n * 10, d, k) for n, (d, k) in enumerate([("x", 1), ("x", 1), ("x", 2), ("it's", 2), ("it's", 2), ("z", 3)])]
+    spark.createDataFrame(rows_, "id int, v int, d string, k int").write.partitionBy("d", "k").saveAsTable(name)
+    yield Table(spark, name)
+    spark.sql(f"DROP TABLE {name}")
+
+
+def files(spark, name):
+    """The files of each partition."""
+    out = {}
+    for d, k, file in spark.table(name).select("d", "k", F.input_file_name()).collect():
+        out.setdefault(d + str(k), set()).add(file)
+    return out
+
+
+def test_only_touched_partitions_are_rewritten(spark, parted):
+    before, mode = files(spark, parted.name), spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    assert parted.update({"v": parted["v"] + 1}, "id IN (0, 4)").execute() == 6
+    after = files(spark, parted.name)
+    assert {p for p in before if before[p] != after[p]} == {"x1", "it's2"}
+    assert rows(spark.table(parted.name).select("id", "v")) == [(0, 1), (1, 10), (2, 20), (3, 30), (4, 41), (5, 50)]
+    assert Table(spark, parted.name).update({"v": 9}, "d = 'z'").execute() == 6  # a whole partition
+    before, after = after, files(spark, parted.name)
+    assert {p for p in before if before[p] != after[p]} == {"z3"}
+    parted = Table(spark, parted.name)
+    assert parted.delete(parted["id"] == 3).execute() == 5
+    last = files(spark, parted.name)
+    assert {p for p in after if after[p] != last.get(p)} == {"it's2"}
+    assert rows(spark.table(parted.name).select("id")) == [(0,), (1,), (2,), (4,), (5,)]
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode
+
+
+def test_statements_that_rewrite_all_partitions(spark, parted):
+    assert parted.delete("id = 5 OR id = 0").execute() == 4  # empties z
+    assert rows(spark.table(parted.name).select("id", "d")) == [(1, "x"), (2, "x"), (3, "it's"), (4, "it's")]
+    assert Table(spark, parted.name).update({"d": "new"}, "id = 1").execute() == 4
+    assert rows(spark.table(parted.name).select("id", "d")) == [(1, "new"), (2, "x"), (3, "it's"), (4, "it's")]
+    assert Table(spark, parted.name).update({"v": 0, "d": None}, "id = 2").execute() == 4
+    assert Table(spark, parted.name).update({"v": 7}, "d IS NULL OR id = 4").execute() == 4
+    assert rows(spark.table(parted.name).select("id", "v", "d")) == [(1, 10, "new"), (2, 7, None), (3, 30, "it's"), (4, 7, "it's")]
+
+
+def test_statements_that_change_nothing(spark, parted):
+    before = files(spark, parted.name)
+    assert parted.update({"v": 0}, "id = 99").execute() == 6 and parted.delete("v < 0").execute() == 6
+    assert files(spark, parted.name) == before
+
+
 def test_emptied_table(spark, table):
     assert table.delete(where="true").execute() == 0
     assert Table(spark, table.name).update({"age": 1}, where="age > 0").execute() == 0
