@@ -13,13 +13,18 @@
      one is drawn by the bucket, and corners of equal MinHash vote with their ``NEAR`` neighbours:
      copies have most keys in common, so they stand side by side even where many other pictures
      share a patch. A large group of copies is linked through its buckets and draws many times over.
-     Adaptive execution may split such a bucket; its parts are then sorted by themselves.
+     Adaptive execution may split such a bucket; its parts are then sorted by themselves. These
+     votes only come first: what they miss is found by step 5.
 
 3. Pairs whose pictures have ``VOTES`` corners that vote for one pose are verified: descriptors within ``BITS`` bits are matched, and one
    similarity transform must carry ``AGREE`` of the matched corners onto their partners.
 4. ``graph.components`` unites verified pairs.
+5. Pictures with a corner in a larger bucket are then compared with one another, every two that are
+   not yet in one component, by what step 3 verifies; blocks of pictures meet in tasks of their own.
+   Any two that larger buckets could have made a candidate are among them, so no bucket drops a pair.
+   The work grows with the square of the number of such pictures.
 
-Retrieval by tables is approximate; tests measure its recall against comparing all pairs.
+Retrieval of the other pairs by tables is approximate; tests measure its recall against comparing all pairs.
 
 Decoded formats: PGM and PPM (binary), PNG (8 bit, not interlaced), up to ``MOST_PIXELS`` by their
 header. Defined results: null, empty, undecodable, oversized or truncated media, pictures without
@@ -59,6 +64,8 @@ ORDERS: tuple[Callable[[], Column], ...] = (
     lambda: F.xxhash64("id"),
     lambda: F.element_at("sketch", (F.pmod(F.hash("slot"), F.lit(SKETCH)) + 1).cast("int")),
 )
+#: Pictures of a block, in a table so large that ``FEWEST`` blocks do not do; pictures that one picture is compared with at once.
+BLOCK, FEWEST, CHUNK = 8192, 8, 64
 #: Pixels that a header may claim. What is decoded never takes more memory than that claim.
 MOST_PIXELS = 1 << 26
 #: Pictures described together; few enough for their arrays to stay in a processor's cache.
@@ -298,6 +305,49 @@ def agree(a: dict, b: dict) -> bool:
     return False
 
 
+def may_agree(a: dict, corners: dict, starts: np.ndarray) -> np.ndarray:
+    """Numbers of the pictures in ``corners`` with which ``a`` may agree: all for which ``agree`` is true, and few more.
+
+    ``corners`` holds the corners of many pictures one after the other, from ``starts`` on.
+    """
+    left, right = a["words"], corners["words"]
+    apart = np.zeros((left.shape[1], right.shape[1]), dtype=np.uint16)
+    for own, other in zip(left, right, strict=True):
+        apart += np.bitwise_count(own[:, None] ^ other[None])
+    i, j = np.nonzero(apart <= BITS)
+    if not len(i):
+        return i
+    d, of = apart[i, j], corners["of"][j]
+    # Matches come by corner of a, then by picture: the nearest of each of these stay, as in ``agree``.
+    first = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (of[1:] != of[:-1])])
+    enough = np.bincount(of[first], minlength=len(starts)) >= AGREE  # corners of a with a match
+    least = np.repeat(np.minimum.reduceat(d, first), np.diff(np.r_[first, len(d)]))
+    kept = np.flatnonzero((d == least) & enough[of])
+    kept = kept[np.argsort(of[kept], kind="stable")]
+    i, j, of = i[kept], j[kept], of[kept]
+    if not len(i):
+        return i
+    # Each match is a hypothesis about the other matches of its picture.
+    n = np.bincount(of, minlength=len(starts))
+    begin = np.cumsum(n) - n
+    each = n[of]
+    k = np.repeat(np.arange(len(of)), each)
+    other = np.arange(len(k)) - np.repeat(np.cumsum(each) - each, each) + begin[of][k]
+    px, py, qx, qy = a["x"][i], a["y"][i], corners["x"][j], corners["y"][j]
+    size = np.float32(1.5) ** (corners["level"][j] - a["level"][i])
+    turn = (corners["direction"][j] - a["direction"][i]) * np.float32(2 * np.pi / DIRECTIONS)
+    c, s = size * np.cos(turn), size * np.sin(turn)
+    dx, dy = px[other] - px[k], py[other] - py[k]
+    ex, ey = c[k] * dx - s[k] * dy + qx[k] - qx[other], s[k] * dx + c[k] * dy + qy[k] - qy[other]
+    # Single precision: a margin far above its error keeps all that double precision would.
+    near = ex * ex + ey * ey < (np.float32(3.05) + np.float32(0.1001) * np.sqrt(dx * dx + dy * dy)) ** 2
+    fits, by = k[near], i[other[near]]
+    # Matches of a hypothesis come by corner of a: distinct corners are counted by their first.
+    new = np.r_[True, (fits[1:] != fits[:-1]) | (by[1:] != by[:-1])]
+    held = np.bincount(fits[new], minlength=len(of)) >= AGREE
+    return np.unique(of[held])
+
+
 # --- tables -----------------------------------------------------------------------------------------------------------
 
 
@@ -388,9 +438,8 @@ def candidates(pictures: DataFrame, *orders: Callable[[], Column]) -> DataFrame:
     counts as a corner of its own, and all votes are for one pose.
     """
     carried = [c for c in ("places", "sketch") if c in pictures.columns]
+    keyed = _keyed(pictures, *carried)
     place = F.element_at("places", F.shiftright("at", 3) + 1) if "places" in carried else F.shiftleft(F.col("at").cast("long"), 37)
-    slot = F.shiftleft((F.col("at") % 8).cast("long"), 32) + F.col("key")
-    keyed = pictures.select("id", *carried, F.posexplode("keys").alias("at", "key")).withColumn("slot", slot)
     ranks = orders[1]().cast("int") if len(orders) > 1 else F.lit(0)
     entries = keyed.select("slot", "id", ranks.alias("rank"), place.alias("place"))
     buckets = entries.groupBy("slot").agg(F.count("*").cast("int").alias("n"))
@@ -406,6 +455,76 @@ def candidates(pictures: DataFrame, *orders: Callable[[], Column]) -> DataFrame:
     return voted.where(F.bit_count("corners") >= VOTES).select("u", "v").distinct()
 
 
+def _keyed(pictures: DataFrame, *carried: str) -> DataFrame:
+    """One row for each key, with the bucket that it falls in: a table's number and the key."""
+    slot = F.shiftleft((F.col("at") % 8).cast("long"), 32) + F.col("key")
+    return pictures.select("id", *carried, F.posexplode("keys").alias("at", "key")).withColumn("slot", slot)
+
+
+def crowded(pictures: DataFrame) -> DataFrame:
+    """Distinct ids of pictures with a corner in a bucket of more than ``SMALL``; ``pictures`` has id and keys."""
+    entries = _keyed(pictures).select("id", "slot")
+    large = entries.groupBy("slot").agg(F.count("*").alias("n")).where(f"n > {SMALL}").select(F.col("slot").alias("k"))
+    return entries.join(large, F.col("slot") == F.col("k"), "left_semi").select("id").distinct()
+
+
+def compared(found: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (u, v), u > v, of ``members`` (id, root) that agree, of every two with different roots; ``found`` has id and features.
+
+    Members are cut by their ids into blocks of about equal size; every two blocks meet in a task,
+    which holds the smaller ids and reads the others one after the other.
+    """
+    n = members.count()
+    blocks = max(-(-n // BLOCK), min(FEWEST, -(-n // CHUNK)), 1)
+    cuts = members.agg(F.percentile_approx("id", [k / blocks for k in range(1, blocks)])).first()[0] if blocks > 1 else []
+    block = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut < F.col("id"))) if cuts else F.lit(0)
+    task = lambda low, high: (high * (high + 1) / 2 + low).cast("int")
+    roles = F.concat(
+        F.transform(F.sequence("block", F.lit(blocks - 1)), lambda b: F.struct(task(F.col("block"), b).alias("task"), F.lit(False).alias("asks"))),
+        F.transform(F.sequence(F.lit(0), "block"), lambda b: F.struct(task(b, F.col("block")).alias("task"), F.lit(True).alias("asks"))),
+    )
+    rows = members.join(found.select("id", F.struct("x", "y", "level", "direction", "bits").alias("f")), "id").withColumn("block", block)
+    dealt = rows.select(F.inline(roles), "root", "id", "f").repartitionById(blocks * (blocks + 1) // 2, F.col("task"))
+    # Equal roots stand together, so that copies are passed over by chunks.
+    return dealt.sortWithinPartitions("task", "asks", "root", "id").mapInArrow(_agreeing, "u long, v long")
+
+
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that agree, of rows (task, asks, root, id, f): those of a task that ask come after those that are asked about."""
+    now, held, chunks = None, [], []
+    for batch in batches:
+        pairs = []
+        tasks, asks, roots, ids = (batch.column(k).to_pylist() for k in range(4))
+        for of, asking, root, own, f in zip(tasks, asks, roots, ids, _features_of(batch.column(4)), strict=True):
+            if of != now:
+                now, held, chunks = of, [], []
+            f = {name: np.array(f[name]) for name in ("x", "y", "level", "direction")} | {"bits": f["bits"]}
+            f["words"] = np.frombuffer(f["bits"], np.uint64).reshape(-1, 4).T
+            if not asking:
+                held.append((root, own, f))
+                if len(held) == CHUNK:
+                    chunks.append(_chunk(held))
+                    held = []
+                continue
+            if held:
+                chunks.append(_chunk(held))
+                held = []
+            for their_roots, their_ids, known, corners, starts in chunks:
+                open_ = (their_roots != root) & (their_ids < own)
+                if open_.any():
+                    pairs += [(own, int(their_ids[k])) for k in may_agree(f, corners, starts) if open_[k] and agree(f, known[k])]
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+
+def _chunk(held: list[tuple]) -> tuple:
+    """Roots, ids, features, corners and where these start, of some pictures."""
+    known = [f for _, _, f in held]
+    n = [len(f["x"]) for f in known]
+    corners = {name: np.concatenate([f[name] for f in known]) for name in ("x", "y", "level", "direction")}
+    corners |= {"words": np.concatenate([f["words"] for f in known], axis=1), "of": np.repeat(np.arange(len(n)), n)}
+    return np.array([r for r, _, _ in held]), np.array([k for _, k, _ in held]), known, corners, np.cumsum(n) - n
+
+
 def _pose(p: Column, q: Column) -> Column:
     """Turn, scale and shift that carry a corner in place p onto one in place q, as the number of a step of each."""
     part = lambda c, at, width: F.shiftright(c, at).bitwiseAND((1 << width) - 1)
@@ -455,9 +574,14 @@ def copies(media: DataFrame, id_col: str = "media_id", media_col: str = "media")
     both = pairs.join(own("a"), F.col("u") == F.col("a_id")).join(own("b"), F.col("v") == F.col("b_id"))
     links = scratch.keep(verified(both))
     scratch.drop(pairs)
-    roots = components(links, scratch)
+    firsts = components(links, scratch)
+    crowd = crowded(found.select("id", "keys"))
+    members = scratch.keep(crowd.join(firsts, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root")))
+    every = scratch.keep(links.union(compared(found, members)))
+    scratch.drop(members)
+    roots = components(every, scratch)
     named = scratch.keep(classes.join(roots, F.col("id") == F.col("node"), "left").select(F.col("digest").alias("d"), F.coalesce("root", "id").alias("c")))
-    scratch.drop(links, classes)
+    scratch.drop(links, every, classes)
     joined = rows.join(named, F.col("digest") == F.col("d"), "left")
     component = F.coalesce("c", "id")
     return joined.select(F.col("id").alias("media_id"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

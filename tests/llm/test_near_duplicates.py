@@ -326,6 +326,25 @@ def test_recall_among_shared_patches(spark):
     assert all(roots[got[k]] == roots[k] for k in got)  # nothing is joined that no pair joins
 
 
+def test_larger_buckets_drop_no_pair(spark):
+    """Cells of vectors look alike, so most corners stand in large buckets: what all pairs link is linked all the same."""
+    rng = np.random.default_rng(3)
+    base = [media.render(rng.normal(size=64)) for _ in range(150)]
+    shown = base + [p * 0.9 + rng.normal(0, 4, p.shape) for p in base[:50]] + [media.resize(np.pad(p, 12, mode="edge")[None].astype(np.float32), 1.3)[0] for p in base[50:100]]
+    rows = [(k, media.encode_pgm(p)) for k, p in enumerate(shown)]
+    known = [media.describe(media.decode(raw)[None])[0] for _, raw in rows]
+    pairs = [(a, b) for a in range(len(known)) for b in range(a) if media.agree(known[a], known[b])]
+    frame = spark.createDataFrame(rows, "media_id long, media binary").repartition(3)
+    features = media.features(frame.withColumnRenamed("media_id", "id"))
+    crowd = {r["id"] for r in media.crowded(features).collect()}
+    among = [p for p in pairs if crowd.issuperset(p)]
+    assert len(crowd) > 150 and len(among) > 30
+    got = {r["media_id"]: r["component_id"] for r in media.copies(frame).collect()}
+    assert all(got[a] == got[b] for a, b in among)
+    members = features.select("id", features["id"].alias("root"))  # nothing is united yet: every pair is compared
+    assert sorted((r["u"], r["v"]) for r in media.compared(features, members).collect()) == pairs
+
+
 def test_neighbours_meet_across_batches():
     import pyarrow as pa
 
