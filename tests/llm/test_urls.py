@@ -109,3 +109,40 @@ def test_number_of_rules_is_bounded(spark):
     labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string")
     assert len(urls.mine(labelled, 0.02, 0.5, most=300)) <= 300
     assert all(len(r.tokens) <= urls.MOST_TOKENS for r in urls.mine(labelled, 0.2, 0.5))
+
+
+def crowd():
+    """Tokens and verdicts of URLs with up to 13 frequent tokens, of which a rare one and pairs of late ones tell the verdict."""
+    rows = []
+    for k in range(240):
+        own = [f"t{j:02}" for j in range(12) if (k * (j + 3) + j) % 7 or j < 4]
+        block = ("t10" in own) != ("t11" in own) or k % 11 == 0
+        rows.append((own + ["z"] * (k % 11 == 0), "block" if block else "allow"))
+    return rows
+
+
+def test_mining_reads_every_token_and_keeps_every_rule(spark, monkeypatch):
+    """Against counting: URLs of more than MOST_TOKENS frequent tokens, and more rules than one expression tries."""
+    from pyspark.sql import functions as F
+
+    rows = crowd()
+    assert max(len(own) for own, _ in rows) > urls.MOST_TOKENS
+    frame = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    for support, confidence in ((0.02, 0.9), (0.01, 0.3)):
+        rules = urls.mine(frame, support, confidence)
+        expected = brute_rules(rows, support, confidence)
+        assert {(r.tokens, r.verdict): (r.confidence, r.support) for r in rules} == expected and ("z",) in {r.tokens for r in rules}
+    # FP-growth finds the same where it may mine.
+    short = [([t for t in own if t not in ("t01", "t02", "t03")], verdict) for own, verdict in rows]
+    short_frame = spark.createDataFrame(short, "tokens array<string>, verdict string")
+    grown = urls.mine(short_frame, 0.02, 0.6)
+    monkeypatch.setattr(urls, "MOST_TOKENS", 0)
+    assert urls.mine(short_frame, 0.02, 0.6) == grown
+    # Joins try the same rules as the expression does.
+    read = frame.withColumn("stated", F.when(F.xxhash64("tokens") % 3 != 0, F.col("verdict")))
+    assert len(rules) > 30
+    said = sorted(map(str, urls.with_mined(read, rules).collect()))
+    used = urls.discriminating(rules, read, lift=1.0, coverage=0.6)
+    monkeypatch.setattr(urls, "MOST_RULES", 5)
+    assert sorted(map(str, urls.with_mined(read, rules).collect())) == said
+    assert 5 < len(used) < len(rules) and urls.discriminating(rules, read, lift=1.0, coverage=0.6) == used
