@@ -22,7 +22,8 @@
 5. Pictures with a corner in a larger bucket are then compared with one another, every two that are
    not yet in one component, by what step 3 verifies; blocks of pictures meet in tasks of their own.
    Any two that larger buckets could have made a candidate are among them, so no bucket drops a pair.
-   The work grows with the square of the number of such pictures.
+   A picture is compared with ``ABREAST`` others at once, and a descriptor that several corners have
+   only once. The work grows with the square of the number of such pictures.
 
 Retrieval of the other pairs by tables is approximate; tests measure its recall against comparing all pairs.
 
@@ -64,8 +65,10 @@ ORDERS: tuple[Callable[[], Column], ...] = (
     lambda: F.xxhash64("id"),
     lambda: F.element_at("sketch", (F.pmod(F.hash("slot"), F.lit(SKETCH)) + 1).cast("int")),
 )
-#: Pictures of a block, in a table so large that ``FEWEST`` blocks do not do; pictures that one picture is compared with at once.
-BLOCK, FEWEST, CHUNK = 8192, 8, 64
+#: Pictures of a block, in a table so large that ``FEWEST`` blocks do not do, and fewest pictures of a block; pictures that one picture is compared with at once.
+BLOCK, FEWEST, CHUNK, ABREAST = 8192, 8, 64, 2048
+#: Descriptors, the most frequent ones, whose nearest corners in a chunk are kept for all corners that have them.
+SHARED = 16384
 #: Pixels that a header may claim. What is decoded never takes more memory than that claim.
 MOST_PIXELS = 1 << 26
 #: Pictures described together; few enough for their arrays to stay in a processor's cache.
@@ -305,47 +308,144 @@ def agree(a: dict, b: dict) -> bool:
     return False
 
 
-def may_agree(a: dict, corners: dict, starts: np.ndarray) -> np.ndarray:
-    """Numbers of the pictures in ``corners`` with which ``a`` may agree: all for which ``agree`` is true, and few more.
+class Chunk:
+    """Corners of up to ``ABREAST`` pictures side by side: corner after corner, each of all pictures.
 
-    ``corners`` holds the corners of many pictures one after the other, from ``starts`` on.
+    Asking pictures are compared with all of them at once, by operations on arrays that fit a processor's cache.
     """
-    left, right = a["words"], corners["words"]
-    apart = np.zeros((left.shape[1], right.shape[1]), dtype=np.uint16)
-    for own, other in zip(left, right, strict=True):
-        apart += np.bitwise_count(own[:, None] ^ other[None])
-    i, j = np.nonzero(apart <= BITS)
-    if not len(i):
-        return i
-    d, of = apart[i, j], corners["of"][j]
-    # Matches come by corner of a, then by picture: the nearest of each of these stay, as in ``agree``.
-    first = np.flatnonzero(np.r_[True, (i[1:] != i[:-1]) | (of[1:] != of[:-1])])
-    enough = np.bincount(of[first], minlength=len(starts)) >= AGREE  # corners of a with a match
-    least = np.repeat(np.minimum.reduceat(d, first), np.diff(np.r_[first, len(d)]))
-    kept = np.flatnonzero((d == least) & enough[of])
-    kept = kept[np.argsort(of[kept], kind="stable")]
-    i, j, of = i[kept], j[kept], of[kept]
-    if not len(i):
-        return i
-    # Each match is a hypothesis about the other matches of its picture.
-    n = np.bincount(of, minlength=len(starts))
-    begin = np.cumsum(n) - n
-    each = n[of]
-    k = np.repeat(np.arange(len(of)), each)
-    other = np.arange(len(k)) - np.repeat(np.cumsum(each) - each, each) + begin[of][k]
-    px, py, qx, qy = a["x"][i], a["y"][i], corners["x"][j], corners["y"][j]
-    size = np.float32(1.5) ** (corners["level"][j] - a["level"][i])
-    turn = (corners["direction"][j] - a["direction"][i]) * np.float32(2 * np.pi / DIRECTIONS)
-    c, s = size * np.cos(turn), size * np.sin(turn)
-    dx, dy = px[other] - px[k], py[other] - py[k]
-    ex, ey = c[k] * dx - s[k] * dy + qx[k] - qx[other], s[k] * dx + c[k] * dy + qy[k] - qy[other]
+
+    def __init__(self, held: list[tuple]):
+        self.roots, self.ids = np.array([r for r, _, _ in held]), np.array([k for _, k, _ in held])
+        self.known = [f for _, _, f in held]
+        n = len(held)
+        self.most = max(len(f["x"]) for f in self.known)  # below 254: a picture has LONGEST pixels a side at most
+        self.words = np.zeros((4, self.most, n), dtype=np.uint64)
+        self.absent = np.full((self.most, n), 255, dtype=np.uint8)
+        # The row after the last corner stands for none: it lies far from everything.
+        self.at = np.full((2, self.most + 1, n), 1e9, dtype=np.float32)
+        self.turn = np.zeros((self.most + 1, n), dtype=np.intp)
+        for k, f in enumerate(self.known):
+            m = len(f["x"])
+            self.words[:, :m, k], self.absent[:m, k] = f["words"], 0
+            self.at[:, :m, k], self.turn[:m, k] = (f["x"], f["y"]), _turn(f)
+        self._wide, self._count, self._apart = (np.empty((self.most, n), dtype=t) for t in (np.uint64, np.uint8, np.uint8))
+
+    def nearest(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For descriptors (n, 4) and each picture the first and the last corner nearest to it.
+
+        Both are ``most`` if none is near enough, and last is 255 if there are more than two.
+        """
+        first, last = (np.full((len(words), len(self.ids)), self.most, dtype=np.uint8) for _ in range(2))
+        number = np.arange(self.most, dtype=np.uint8)[:, None]
+        wide, count, apart = self._wide, self._count, self._apart
+        for low, high, word in zip(first, last, words, strict=True):
+            np.bitwise_count(np.bitwise_xor(self.words[0], word[0], out=wide), out=apart)
+            for k in (1, 2, 3):
+                np.bitwise_count(np.bitwise_xor(self.words[k], word[k], out=wide), out=count)
+                np.add(apart, np.minimum(count, 63, out=count) if k == 3 else count, out=apart)  # a byte holds it
+            np.maximum(apart, self.absent, out=apart)
+            least = np.minimum.reduce(apart, axis=0)
+            near = least <= BITS
+            if not near.any():
+                continue
+            equal = np.equal(apart, least, out=count.view(bool)).view(np.uint8)
+            several = np.add.reduce(equal, axis=0, dtype=np.uint8)
+            np.subtract(equal, 1, out=apart)
+            np.bitwise_or(apart, number, out=apart)
+            np.copyto(low, np.minimum.reduce(apart, axis=0), where=near)
+            np.copyto(high, low)
+            tied = np.flatnonzero(near & (several > 1))
+            if len(tied):
+                high[tied] = np.where(several[tied] > 2, 255, (equal[:, tied] * number).max(axis=0))
+        return first, last
+
+    def may_agree(self, a: dict, first: np.ndarray, last: np.ndarray, open_: np.ndarray) -> np.ndarray:
+        """Numbers of the open pictures with which ``a`` may agree: all for which ``agree`` is true, and few more.
+
+        ``first`` and ``last`` hold what ``nearest`` says of each corner of ``a``. Each match is a
+        hypothesis, which takes along the corners of ``a`` whose match lies where it says. Those with
+        several nearest corners are taken along in any case, and at first also those that few pictures match.
+        """
+        matched = first < self.most
+        at = np.flatnonzero((np.add.reduce(matched.view(np.uint8), axis=0, dtype=np.uint8) >= AGREE) & open_)
+        if not len(at):
+            return at
+        first, last, matched = (c.take(at, axis=1) for c in (first, last, matched))
+        place = first.astype(np.intp) * len(self.ids) + at
+        q = self.at.reshape(2, -1).take(place, axis=1)
+        turns = _turns().take(self.turn.ravel().take(place) + _turn(a)[:, None] * _CODES, axis=1)
+        tied = first != last
+        sure = np.add.reduce(tied.view(np.uint8), axis=0, dtype=np.uint8)
+        o = np.where(tied, np.float32(1e9), q)
+        often = np.count_nonzero(matched, axis=1) * 2 > len(at)
+        rows = np.flatnonzero(often)
+        free = sure + np.add.reduce((matched & ~tied & ~often[:, None]).view(np.uint8), axis=0, dtype=np.uint8)
+        need = AGREE - np.minimum(free, AGREE)
+        # Hypotheses: corner of a, number of the picture, corner of the picture. First those of corners that many match.
+        mine, some = np.stack([a["x"], a["y"]]), o[:, rows]
+        room = np.empty((2, *some.shape), dtype=np.float32)
+        good = np.zeros_like(matched)
+        for k in rows:
+            good[k] = _taken((mine[:, rows] - mine[:, k, None])[:, :, None], turns[:, k], q[:, k], some, room) >= need
+        k, b = np.nonzero(good & matched)
+        found = [(k, b, first[k, b].astype(np.intp))]
+        # The others one by one.
+        k, b = np.nonzero(matched & ~often[:, None])
+        listed = [(k, b, first[k, b].astype(np.intp))]
+        k, b = np.nonzero(tied & (last < 255))
+        listed.append((k, b, last[k, b].astype(np.intp)))
+        k, b = np.nonzero(last == 255)
+        if len(k):
+            apart = np.bitwise_count(self.words[:, :, at[b]] ^ a["words"][:, None, k]).sum(axis=0, dtype=int) + self.absent[:, at[b]]
+            j, e = np.nonzero(apart == apart.min(axis=0))
+            listed.append((k[e], b[e], j))
+        k, b, j = (np.concatenate(part) for part in zip(*listed, strict=True))
+        if len(k):
+            held = self._counted(a, rows, k, b, j, at, o) >= need[b]
+            found.append((k[held], b[held], j[held]))
+        k, b, j = (np.concatenate(part) for part in zip(*found, strict=True))
+        if not len(k):
+            return at[:0]
+        held = self._counted(a, np.arange(len(first)), k, b, j, at, o) + sure[b] >= AGREE
+        return at[np.unique(b[held])]
+
+    def _counted(self, a: dict, rows: np.ndarray, k: np.ndarray, b: np.ndarray, j: np.ndarray, at: np.ndarray, o: np.ndarray) -> np.ndarray:
+        """How many of the corners ``rows`` of a each hypothesis takes along."""
+        place = j * len(self.ids) + at[b]
+        turns = _turns().take(self.turn.ravel().take(place) + _turn(a)[k] * _CODES, axis=1)
+        mine = np.stack([a["x"], a["y"]])
+        theirs = o.reshape(2, -1).take(rows[:, None] * o.shape[2] + b, axis=1)
+        return _taken(mine[:, rows, None] - mine[:, None, k], turns, self.at.reshape(2, -1).take(place, axis=1), theirs, np.empty((2, *theirs.shape), dtype=np.float32))
+
+
+_CODES = len(SCALES) * DIRECTIONS
+
+
+def _turn(f: dict) -> np.ndarray:
+    return (f["level"] * DIRECTIONS + f["direction"]).astype(np.intp)
+
+
+@lru_cache(maxsize=1)
+def _turns() -> np.ndarray:
+    """Scaled cosines, sines and negative sines that a match of levels and directions stands for: by ``_turn`` of both corners."""
+    level, direction = np.divmod(np.arange(_CODES), DIRECTIONS)
+    by = (1.5 ** (level[None] - level[:, None]) * np.exp(2j * np.pi / DIRECTIONS * (direction[None] - direction[:, None]))).ravel()
+    return np.stack([by.real, by.imag, -by.imag]).astype(np.float32)
+
+
+def _taken(steps: np.ndarray, turns: np.ndarray, q: np.ndarray, o: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Of each hypothesis, how many corners, ``steps`` (x and y) from its own, have their match ``o`` where it says, as seen from ``q``."""
     # Single precision: a margin far above its error keeps all that double precision would.
-    near = ex * ex + ey * ey < (np.float32(3.05) + np.float32(0.1001) * np.sqrt(dx * dx + dy * dy)) ** 2
-    fits, by = k[near], i[other[near]]
-    # Matches of a hypothesis come by corner of a: distinct corners are counted by their first.
-    new = np.r_[True, (fits[1:] != fits[:-1]) | (by[1:] != by[:-1])]
-    held = np.bincount(fits[new], minlength=len(of)) >= AGREE
-    return np.unique(of[held])
+    most = (np.float32(3.05) + np.float32(0.1001) * np.sqrt(steps[0] ** 2 + steps[1] ** 2)) ** 2
+    out, more = room
+    np.multiply(turns[:2, None], steps[0], out=out)
+    np.multiply(turns[[2, 0], None], steps[1], out=more)
+    out += more
+    out += q[:, None]
+    out -= o
+    out *= out
+    out[0] += out[1]
+    return np.add.reduce((out[0] < most).view(np.uint8), axis=0, dtype=np.uint8)
 
 
 # --- tables -----------------------------------------------------------------------------------------------------------
@@ -493,36 +593,55 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that agree, of rows (task, asks, root, id, f): those of a task that ask come after those that are asked about."""
     now, held, chunks = None, [], []
     for batch in batches:
-        pairs = []
+        pairs, asking = [], []
         tasks, asks, roots, ids = (batch.column(k).to_pylist() for k in range(4))
-        for of, asking, root, own, f in zip(tasks, asks, roots, ids, _features_of(batch.column(4)), strict=True):
+        for of, asks_, root, own, f in zip(tasks, asks, roots, ids, _features_of(batch.column(4)), strict=True):
             if of != now:
-                now, held, chunks = of, [], []
+                pairs += _met(asking, chunks)
+                now, held, chunks, asking = of, [], [], []
             f = {name: np.array(f[name]) for name in ("x", "y", "level", "direction")} | {"bits": f["bits"]}
             f["words"] = np.frombuffer(f["bits"], np.uint64).reshape(-1, 4).T
-            if not asking:
-                held.append((root, own, f))
-                if len(held) == CHUNK:
-                    chunks.append(_chunk(held))
+            if asks_:
+                if held:
+                    chunks.append(Chunk(held))
                     held = []
+                asking.append((root, own, f))
                 continue
-            if held:
-                chunks.append(_chunk(held))
+            held.append((root, own, f))
+            if len(held) == ABREAST:
+                chunks.append(Chunk(held))
                 held = []
-            for their_roots, their_ids, known, corners, starts in chunks:
-                open_ = (their_roots != root) & (their_ids < own)
-                if open_.any():
-                    pairs += [(own, int(their_ids[k])) for k in may_agree(f, corners, starts) if open_[k] and agree(f, known[k])]
+        pairs += _met(asking, chunks)
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
 
 
-def _chunk(held: list[tuple]) -> tuple:
-    """Roots, ids, features, corners and where these start, of some pictures."""
-    known = [f for _, _, f in held]
-    n = [len(f["x"]) for f in known]
-    corners = {name: np.concatenate([f[name] for f in known]) for name in ("x", "y", "level", "direction")}
-    corners |= {"words": np.concatenate([f["words"] for f in known], axis=1), "of": np.repeat(np.arange(len(n)), n)}
-    return np.array([r for r, _, _ in held]), np.array([k for _, k, _ in held]), known, corners, np.cumsum(n) - n
+def _met(asking: list[tuple], chunks: list[Chunk]) -> list[tuple[int, int]]:
+    """Pairs (id that asks, smaller id of another root) that agree."""
+    if not asking or not chunks:
+        return []
+    # Descriptors that several of the corners have are looked up once for each chunk.
+    words = np.ascontiguousarray(np.concatenate([f["words"] for _, _, f in asking], axis=1).T)
+    _, one, of, times = np.unique(words.view("V32").ravel(), return_index=True, return_inverse=True, return_counts=True)
+    often = np.argsort(-times, kind="stable")[:SHARED]
+    often = often[times[often] > 1]
+    place = np.full(len(times), -1)
+    place[often] = np.arange(len(often))
+    place, shared = place[of], words[one[often]]
+    ends = np.cumsum([len(f["x"]) for _, _, f in asking])
+    pairs = []
+    for chunk in chunks:
+        known = None
+        for (root, own, f), end in zip(asking, ends, strict=True):
+            open_ = (chunk.roots != root) & (chunk.ids < own)
+            if not open_.any():
+                continue
+            known = chunk.nearest(shared) if known is None else known
+            at = place[end - len(f["x"]) : end]
+            first, last = (np.empty((len(at), len(chunk.ids)), dtype=np.uint8) for _ in range(2))
+            for out, held, new in zip((first, last), known, chunk.nearest(f["words"].T[at < 0]), strict=True):
+                out[at >= 0], out[at < 0] = held[at[at >= 0]], new
+            pairs += [(own, int(chunk.ids[b])) for b in chunk.may_agree(f, first, last, open_) if agree(f, chunk.known[b])]
+    return pairs
 
 
 def _pose(p: Column, q: Column) -> Column:

@@ -345,6 +345,57 @@ def test_larger_buckets_drop_no_pair(spark):
     assert sorted((r["u"], r["v"]) for r in media.compared(features, members).collect()) == pairs
 
 
+def prepared(pictures):
+    """Features as a task that compares blocks holds them."""
+    out = [media.describe(p[None].astype(np.float32))[0] for p in pictures]
+    out = [f for f in out if f["bits"]]
+    for f in out:
+        f |= {name: np.array(f[name], kind) for name, kind in (("x", np.float32), ("y", np.float32), ("level", np.int32), ("direction", np.int32))}
+        f["words"] = np.frombuffer(f["bits"], np.uint64).reshape(-1, 4).T
+    return out
+
+
+@pytest.mark.parametrize("shared", [5, media.SHARED])
+def test_pictures_abreast_lose_no_pair(monkeypatch, shared):
+    """Of pictures of several sizes, with corners that look the same, every pair that agrees is found, and asked about rarely in vain."""
+    monkeypatch.setattr(media, "SHARED", shared)
+    rng = np.random.default_rng(6)
+    tile = np.kron(rng.uniform(0, 255, (3, 3)), np.ones((8, 8)))
+    base = [media.render(rng.normal(size=64)) for _ in range(40)] + [np.tile(tile, (n, 4)) for n in (3, 3, 4)] + pictures(3) + [np.kron(rng.uniform(0, 255, (50, 50)), np.ones((8, 8)))]
+    known = prepared(base + [p * 0.9 + rng.normal(0, 4, p.shape) for p in base] + [np.rot90(p) for p in base[-20:]] + [base[-1][:256, 100:356]])
+    assert len({len(f["x"]) for f in known}) > 5
+    held = [(k, k, f) for k, f in enumerate(known)]
+    wanted = [(a, b) for a in range(len(known)) for b in range(a) if media.agree(known[a], known[b])]
+    asked, agree = [], media.agree
+    monkeypatch.setattr(media, "agree", lambda a, b: asked.append(1) or agree(a, b))
+    for size in (len(held), 70):
+        asked.clear()
+        assert sorted(media._met(held, [media.Chunk(held[k : k + size]) for k in range(0, len(held), size)])) == wanted
+        assert len(wanted) <= len(asked) < 3 * len(wanted)
+    one = [(7, k, f) for k, f in enumerate(known[:30])]
+    assert media._met(one, [media.Chunk(one)]) == []  # equal roots are united already
+
+
+def test_comparing_costs_little_beside_verifying():
+    """All pairs of rendered vectors, whose corners look alike, in a fraction of the time that verifying each would take."""
+    import time
+
+    known = prepared([media.render(v) for v in np.random.default_rng(9).normal(size=(800, 64))])
+    begin = time.process_time()
+    for f in known[1:300]:
+        media.agree(f, known[0])
+    each = (time.process_time() - begin) / 299
+    ids, fields = list(range(800)), [{n: f[n].tolist() for n in ("x", "y", "level", "direction")} | {"bits": f["bits"]} for f in known]
+    columns = [0] * 800, [False] * 400 + [True] * 400, ids, ids, fields
+    batch = media.pa.RecordBatch.from_arrays([media.pa.array(c) for c in columns], list("abcde"))
+    begin = time.process_time()
+    for _ in media._agreeing([batch]):
+        pass
+    took = (time.process_time() - begin) / (400 * 400)
+    print(f"microseconds a pair: {took * 1e6:.1f}, verifying each {each * 1e6:.1f}")
+    assert took < each / 5
+
+
 def test_neighbours_meet_across_batches():
     import pyarrow as pa
 
